@@ -34,11 +34,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate
+    from . import decontaminate, warc
 
-    return {"op3_decontaminate": decontaminate.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op8_warc": warc.ORACLE}
