@@ -17,7 +17,6 @@ found by 64-bit hashes that are sorted within the row, in n log n steps for text
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import product
 from math import exp, log
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -84,6 +83,7 @@ def measures(text: Column) -> Column:
             long(F.size(F.array_distinct(words))).alias("n_distinct"),
             long(count_of(text, r"\p{Lu}")).alias("n_upper"),
             long(count_of(text, "!")).alias("n_shouts"),
+            long(count_of(text, r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]")).alias("n_marks"),
             long(F.size(F.array_intersect(words, F.array(*map(F.lit, FUNCTION_WORDS))))).alias("n_function"),
         )
 
@@ -100,16 +100,17 @@ def rules(q: Column) -> dict[str, Column]:
     return {
         "symbols": _vote(q["n_symbols"] < 0.05 * n, q["n_symbols"] > 0.25 * n),
         "repeats": _vote(q["n_repeat_words"] == 0, q["n_repeat_words"] > 0.2 * n),
-        "lines": _vote((q["n_dup_lines"] == 0) & (q["n_lines"] > 1), q["n_dup_lines"] > 0.3 * q["n_lines"]),
+        "lines": _vote((q["n_dup_lines"] == 0) & (q["n_lines"] > 1), q["n_dup_lines"] > 0.5 * q["n_lines"]),
         "capitals": _vote(q["n_upper"] < 0.1 * chars, q["n_upper"] > 0.3 * chars),
         "variety": F.when(q["n_words"] < 30, F.lit(0)).otherwise(_vote(q["n_distinct"] * q["n_distinct"] > 4 * n, (q["n_distinct"] < 0.1 * n) & (q["n_distinct"] * q["n_distinct"] < 2 * n))),
         "word_length": _vote((chars > 3 * n) & (chars < 10 * n), (chars < 2 * n) | (chars > 15 * n)),
         "shouts": _vote(q["n_shouts"] < 0.02 * n, q["n_shouts"] > 0.2 * n),
+        "marks": _vote(q["n_marks"] < 0.3 * n, q["n_marks"] > 0.4 * n + 5),
         "function_words": F.when(q["n_words"] < 30, F.lit(0)).otherwise(_vote(q["n_function"] >= 3, q["n_function"] == 0)),
     }
 
 
-RULES = ("symbols", "repeats", "lines", "capitals", "variety", "word_length", "shouts", "function_words")
+RULES = ("symbols", "repeats", "lines", "capitals", "variety", "word_length", "shouts", "marks", "function_words")
 
 
 def base_failed(q: Column) -> Column:
@@ -117,14 +118,14 @@ def base_failed(q: Column) -> Column:
 
 
 class VoteModel:
-    """How rules vote on good and on bad documents: prior, and probability[rule][good?][vote]."""
+    """How rules vote, if they don't abstain: the share of good documents, and accuracy[rule] = (P(-1 | bad), P(1 | good))."""
 
-    def __init__(self, prior: float, probability: list[list[list[float]]]):
-        self.prior, self.probability = prior, probability
+    def __init__(self, prior: float, accuracy: list[tuple[float, float]]):
+        self.prior, self.accuracy = prior, accuracy
 
     def weights(self) -> list[list[float]]:
-        """For each rule, the log odds of good that its votes -1, 0 and 1 add."""
-        return [[log(good / bad) for good, bad in zip(p[1], p[0])] for p in self.probability]
+        """For each rule, the log odds of good that its votes -1, 0 and 1 add; who abstains adds none."""
+        return [[log((1 - good) / bad), 0.0, log(good / (1 - bad))] for bad, good in self.accuracy]
 
     def posterior(self, votes: tuple[int, ...]) -> float:
         odds = log(self.prior / (1 - self.prior)) + sum(w[v + 1] for w, v in zip(self.weights(), votes))
@@ -133,25 +134,28 @@ class VoteModel:
 
 def fit(counts: dict[tuple[int, ...], int], rounds: int = 200, smooth: float = 1.0) -> VoteModel:
     """Expectation-maximisation over counts of vote patterns; starts from: any vote for bad makes a bad document."""
-    n_rules = len(RULES)
     belief = {votes: 0.05 if -1 in votes else 0.95 for votes in counts}
-    model = None
+    total, model = sum(counts.values()), VoteModel(0.5, [(0.5, 0.5)] * len(RULES))
     for _ in range(rounds):
         good = sum(belief[v] * c for v, c in counts.items())
-        total = sum(counts.values())
-        table = [[[smooth] * 3, [smooth] * 3] for _ in range(n_rules)]
-        for votes, count in counts.items():
-            b = belief[votes] * count
-            for rule, vote in zip(table, votes):
-                rule[1][vote + 1] += b
-                rule[0][vote + 1] += count - b
-        model = VoteModel((good + smooth) / (total + 2 * smooth), [[[x / sum(side) for x in side] for side in rule] for rule in table])
+        accuracy = []
+        for k in range(len(RULES)):
+            right = {1: smooth, -1: smooth}
+            wrong = {1: smooth, -1: smooth}
+            for votes, count in counts.items():
+                if vote := votes[k]:
+                    agrees = (belief[votes] if vote > 0 else 1 - belief[votes]) * count
+                    right[vote] += agrees
+                    wrong[vote] += count - agrees
+            # of the bad documents it votes on, the share it calls bad; the same for good ones
+            accuracy.append((right[-1] / (right[-1] + wrong[1]), right[1] / (right[1] + wrong[-1])))
+        model = VoteModel((good + smooth) / (total + 2 * smooth), accuracy)
         after = {votes: model.posterior(votes) for votes in counts}
         moved = sum(abs(after[v] - belief[v]) * c for v, c in counts.items())
         belief = after
         if moved <= 1e-9 * max(total, 1):
             break
-    return model if model else VoteModel(0.5, [[[1 / 3] * 3] * 2 for _ in range(n_rules)])
+    return model
 
 
 def vote_counts(measured: DataFrame, column: str) -> dict[tuple[int, ...], int]:
@@ -187,7 +191,3 @@ def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     model = fit(vote_counts(measured, "__q"))
     q = F.col("__q")
     return measured.where(~base_failed(q) & (posterior(q, model) >= KEEP_FROM)).drop("__q")
-
-
-def all_patterns() -> list[tuple[int, ...]]:
-    return list(product((-1, 0, 1), repeat=len(RULES)))
