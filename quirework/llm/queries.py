@@ -39,6 +39,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_prediction(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gated_lm import score
+
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import hex_fingerprint, near_duplicates
 
