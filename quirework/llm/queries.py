@@ -58,11 +58,28 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_digest import scan
+
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_tools import events
+
+    return events(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, warc
-
-    return {"op3_decontaminate": decontaminate.ORACLE, "op8_warc": warc.ORACLE}
+    from . import chat_tools, decontaminate, license_digest, warc
+
+    return {
+        "op3_decontaminate": decontaminate.ORACLE,
+        "op8_warc": warc.ORACLE,
+        "op9_license_digest": license_digest.oracle(),
+        "op10_chat_tools": chat_tools.ORACLE,
+    }
