@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 
+def _load():
+    from . import catalog, queries_numeric, queries_retrieval, queries_store, queries_text  # noqa: F401
+
+    return catalog
+
+
 def queries() -> dict:
-    return {}
+    return dict(_load().QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_load().SQL)
