@@ -191,8 +191,12 @@ def combined_reason(reasons: Column) -> Column:
     return F.when(F.size(rest) == 0, "within_limit").otherwise(F.coalesce(named, F.try_element_at(rest, F.lit(-1))))
 
 
-def split_text(text: Column | str, most: int) -> Column:
-    """array<struct<text, reason>>: boundary units packed greedily into pieces of at most ``most`` tokens (without overlap)."""
+def split_text(text: Column | str, most: int, overlap: int = 0) -> Column:
+    """array<struct<text, reason>>: boundary units packed greedily into pieces of at most ``most`` tokens.
+
+    With an overlap, a piece begins with the last piece's trailing sentences (or tokens) of that many tokens, unless
+    they and the next unit exceed the limit while the unit alone doesn't.
+    """
     clean = normalize_space(text)
     state = "struct<out:array<struct<text:string,reason:string>>,now:string,reasons:array<string>>"
     start = F.from_json(F.lit('{"out":[],"now":"","reasons":[]}'), state)
@@ -204,11 +208,16 @@ def split_text(text: Column | str, most: int) -> Column:
     def step(s: Column, unit: Column) -> Column:
         longer = F.when(s["now"] == "", unit["text"]).otherwise(join_text(s["now"], unit["text"]))
         over = (s["now"] != "") & (estimated_tokens(longer) > most)
-        return F.struct(
-            F.when(over, closed(s)).otherwise(s["out"]).alias("out"),
-            F.when(over, unit["text"]).otherwise(longer).alias("now"),
-            F.when(over, F.array(unit["reason"])).otherwise(F.concat(s["reasons"], F.array(unit["reason"]))).alias("reasons"),
-        )
+        fresh = let(trailing_overlap(s["now"], overlap), lambda o: begun(o, unit)) if overlap > 0 else F.struct(unit["text"].alias("now"), F.array(unit["reason"]).alias("reasons"))
+        grown = F.struct(longer.alias("now"), F.concat(s["reasons"], F.array(unit["reason"])).alias("reasons"))
+        after = F.when(over, fresh).otherwise(grown)
+        return let(after, lambda a: F.struct(F.when(over, closed(s)).otherwise(s["out"]).alias("out"), a["now"].alias("now"), a["reasons"].alias("reasons")))
+
+    def begun(o: Column, unit: Column) -> Column:
+        both = F.when(o == "", unit["text"]).otherwise(join_text(o, unit["text"]))
+        alone = (o == "") | ((estimated_tokens(both) > most) & (estimated_tokens(unit["text"]) <= most))
+        reasons = F.when(alone, F.array(unit["reason"])).otherwise(F.array(F.lit("overlap"), unit["reason"]))
+        return F.struct(F.when(alone, unit["text"]).otherwise(both).alias("now"), reasons.alias("reasons"))
 
     whole = F.array(F.struct(clean.alias("text"), F.lit("within_limit").alias("reason")))
     packed = F.aggregate(boundary_units(clean, most), start, step, closed)

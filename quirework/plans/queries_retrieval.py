@@ -1,0 +1,159 @@
+"""Queries of retrieval: BM25, dense search, fusion, expansion, citations, metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import bm25, dense, ranking
+from .catalog import query, table
+
+TOKENS = "regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*')"
+BM25_SQL = f"""
+bag AS (SELECT doc_id, {TOKENS} AS t FROM documents),
+post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM bag) GROUP BY doc_id, term),
+corpus AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM bag),
+raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, corpus GROUP BY term),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY item_id, term),
+scored AS (SELECT item_id AS query_id, doc_id AS doc_key, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / mean))) AS score
+  FROM asked JOIN terms USING (term) JOIN post USING (term) JOIN bag USING (doc_id), corpus GROUP BY item_id, doc_id),
+lexical AS (SELECT query_id, doc_key, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_key) - 1 AS rank FROM scored WHERE score > 0 QUALIFY rank < 25)"""
+DENSE_SQL = """
+near AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_key, list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))]) AS distance
+  FROM embeddings q, embeddings v WHERE q.vec_id < 40),
+dense AS (SELECT query_id, doc_key, 1 / (1 + distance) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_key) - 1 AS rank FROM near QUALIFY rank < 25)"""
+
+
+def _tokens():
+    return X.search_tokens("text", bigrams=False)
+
+
+def lexical_hits(spark, sf, k: int = 25):
+    index = bm25.build(table(spark, sf, "documents"), "doc_id", _tokens())
+    found = bm25.scores(index, table(spark, sf, "benchmark"), "item_id", _tokens())
+    return bm25.top(found, k).withColumn("method", F.lit("bm25"))
+
+
+def dense_hits(spark, sf, k: int = 25):
+    """Neighbours of the first 40 vectors, which stand for the queries."""
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), "embedding")
+    return dense.nearest(vectors, asked, k).select("query_id", F.col("vec_id").alias("doc_key"), "score", "rank", F.lit("dense").alias("method"))
+
+
+@query(f"WITH {BM25_SQL} SELECT term, df, round(idf, 9) AS idf FROM terms")
+def agg_07_bm25_statistics(spark, sf):
+    return bm25.build(table(spark, sf, "documents"), "doc_id", _tokens()).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_key, round(score, 6) AS score, rank FROM lexical")
+def rnk_02_bm25_top_k(spark, sf):
+    return lexical_hits(spark, sf).select("query_id", "doc_key", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {DENSE_SQL} SELECT query_id, doc_key, round(score, 6) AS score, rank FROM dense")
+def rnk_01_dense_top_k(spark, sf):
+    return dense_hits(spark, sf).select("query_id", "doc_key", F.round("score", 6).alias("score"), "rank")
+
+
+@query("WITH near AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))]) AS distance FROM embeddings q, embeddings v WHERE q.vec_id < 10 AND v.label = 3) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) - 1 AS rank FROM near QUALIFY rank < 8")
+def prd_16_filtered_dense(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    return dense.nearest(vectors.where("label = 3"), asked, 8).select("query_id", "vec_id", "rank")
+
+
+FUSED_SQL = f"""{BM25_SQL}, {DENSE_SQL},
+hits AS (SELECT query_id, doc_key, rank, 0 AS list, 'dense' AS method FROM dense UNION ALL SELECT query_id, doc_key, rank, 1, 'bm25' FROM lexical),
+fused AS (SELECT query_id, doc_key, sum(1.0 / (60 + rank + 1)) AS rrf, min({{'list': list, 'rank': rank}}) AS first, list_sort(list(DISTINCT method)) AS methods FROM hits GROUP BY query_id, doc_key),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, first) - 1 AS rank FROM fused)"""
+
+
+@query(f"WITH {FUSED_SQL} SELECT query_id, doc_key, round(rrf, 9) AS rrf_score, methods, rank FROM ordered")
+def rnk_03_fusion(spark, sf):
+    fused = ranking.fuse(dense_hits(spark, sf), lexical_hits(spark, sf))
+    return fused.select("query_id", "doc_key", F.round("rrf_score", 9).alias("rrf_score"), "methods", "rank")
+
+
+@query(
+    f"""WITH {FUSED_SQL}, both_ AS (SELECT query_id FROM dense INTERSECT SELECT query_id FROM lexical),
+out AS (SELECT query_id, doc_key, rank, methods FROM ordered WHERE query_id IN (SELECT query_id FROM both_)
+UNION ALL SELECT query_id, doc_key, rank, [method] FROM hits WHERE query_id NOT IN (SELECT query_id FROM both_))
+SELECT query_id, doc_key, rank, methods FROM out WHERE rank < 50"""
+)
+def rnk_hybrid(spark, sf):
+    """The flagship: dense and lexical hits of a batch of queries, fused."""
+    found = ranking.hybrid(dense_hits(spark, sf), lexical_hits(spark, sf))
+    return found.where("rank < 50").select("query_id", "doc_key", "rank", "methods")
+
+
+@query(
+    f"""WITH {BM25_SQL}, toks AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark), dt AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS d FROM documents),
+s AS (SELECT query_id, doc_key, l.score AS original, CASE WHEN len(q) = 0 OR len(d) = 0 THEN 0.0 ELSE len(list_intersect(q, d)) / len(q) END AS score FROM lexical l JOIN toks ON query_id = item_id JOIN dt ON doc_key = doc_id)
+SELECT query_id, doc_key, round(score, 9) AS score, round(original, 6) AS original_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round(original, 9) DESC, doc_key) - 1 AS rank FROM s QUALIFY rank < 10"""
+)
+def rnk_05_rerank(spark, sf):
+    hits = lexical_hits(spark, sf)
+    texts = hits.join(table(spark, sf, "documents").select(F.col("doc_id").alias("doc_key"), "text"), "doc_key").join(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    texts = texts.withColumn("first", F.struct((-F.round("score", 9)).alias("s"), "doc_key"))
+    out = ranking.rerank(texts, ranking.overlap_scorer(F.col("question"), F.col("text")), 10)
+    return out.select("query_id", "doc_key", F.round("score", 9).alias("score"), F.round("original_score", 6).alias("original_score"), "rank")
+
+
+_children = "SELECT o_custkey % 50 AS query_id, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) - 1 AS rank, l_orderkey * 10 + l_linenumber AS child_id, CASE WHEN l_linenumber = 7 THEN -1 ELSE l_orderkey END AS parent_id, l_extendedprice AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def _child_hits(spark, sf):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey")).withColumn("query_id", F.col("o_custkey") % 50)
+    by = Window.partitionBy("query_id").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    return rows.select("query_id", (F.row_number().over(by) - 1).alias("rank"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("child_id"), F.when(F.col("l_linenumber") == 7, F.lit(-1).cast("long")).otherwise(F.col("l_orderkey")).alias("parent_id"), F.col("l_extendedprice").alias("score")).where("rank < 40")
+
+
+def _parents(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("parent_id"), F.col("o_orderpriority").alias("title"))
+
+
+EXPANDED_SQL = f"""kids AS (SELECT * FROM ({_children}) WHERE rank < 40),
+best AS (SELECT query_id, parent_id, max(score) AS score, min(rank) AS first_rank, list_sort(list(DISTINCT child_id)) AS child_ids FROM kids GROUP BY query_id, parent_id),
+expanded AS (SELECT query_id, parent_id, score, first_rank, child_ids, o_orderpriority AS title, row_number() OVER (PARTITION BY query_id ORDER BY first_rank, parent_id) - 1 AS rank FROM best JOIN orders ON parent_id = o_orderkey QUALIFY rank < 6)"""
+
+
+@query(f"WITH {EXPANDED_SQL} SELECT query_id, parent_id, score, child_ids, title, rank, 'S' || (rank + 1) AS citation_id FROM expanded")
+def jon_01_parent_expansion(spark, sf):
+    return ranking.expand(_child_hits(spark, sf), _parents(spark, sf)).select("query_id", "parent_id", "score", "child_ids", "title", "rank", "citation_id")
+
+
+@query(f"WITH {EXPANDED_SQL}, a AS (SELECT l_orderkey AS parent_id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) SELECT query_id, parent_id, coalesce(parts, []) AS parts FROM expanded LEFT JOIN a USING (parent_id)")
+def jon_02_assets(spark, sf):
+    hits = ranking.expand(_child_hits(spark, sf), _parents(spark, sf))
+    assets = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("parent_id"), F.col("l_linenumber").alias("asset_index"), F.col("l_partkey").alias("part"))
+    return ranking.with_assets(hits, assets).select("query_id", "parent_id", F.transform("assets", lambda a: a["part"]).alias("parts"))
+
+
+@query("SELECT o_custkey AS query_id, 'S' || (rank + 1) AS citation_id, o_orderpriority AS title, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderkey || '-' || (o_orderkey + 1) END AS page, o_orderstatus AS section, 'x' AS source_path FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rank FROM orders) WHERE o_orderkey % 5 <> 0")
+def rnk_06_citations(spark, sf):
+    rows = table(spark, sf, "orders")
+    hits = ranking.ranked(rows.withColumn("query_id", F.col("o_custkey")), "o_orderkey")
+    k = F.col("o_orderkey")
+    return ranking.citations(hits.select("query_id", "rank", F.when(k % 5 != 0, k).alias("parent_id"), F.col("o_orderpriority").alias("title"), k.alias("page_start"), F.when(k % 3 != 0, k + 1).alias("page_end"), F.col("o_orderstatus").alias("section_path"), F.lit("x").alias("source_path")))
+
+
+@query(
+    f"""WITH {BM25_SQL}, g AS (SELECT query_id, doc_key, CASE WHEN doc_key % 7 = query_id % 7 THEN 2 WHEN doc_key % 5 = 0 THEN 1 ELSE 0 END AS grade FROM lexical UNION ALL SELECT item_id, -1, 2 FROM benchmark),
+good AS (SELECT * FROM g WHERE grade > 0),
+ideal AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_key) - 1 AS pos FROM good),
+w AS (SELECT query_id, count(*) AS n, sum(CASE WHEN pos < 10 THEN grade / log2(pos + 2) ELSE 0 END) AS idcg FROM ideal GROUP BY query_id),
+f AS (SELECT l.query_id, l.rank, grade, row_number() OVER (PARTITION BY l.query_id ORDER BY l.rank) AS nth FROM lexical l JOIN good USING (query_id, doc_key)),
+m AS (SELECT query_id, min(rank) AS first, sum(nth / (rank + 1)) AS ap, sum(CASE WHEN rank < 10 THEN 1 ELSE 0 END) AS hits, sum(CASE WHEN rank < 10 THEN grade / log2(rank + 2) ELSE 0 END) AS dcg FROM f GROUP BY query_id)
+SELECT query_id, round(coalesce(hits, 0) / n, 9) AS recall_10, round(coalesce(hits, 0) / 10, 9) AS precision_10, round(coalesce(dcg, 0) / idcg, 9) AS ndcg_10, round(CASE WHEN first < 10 THEN 1 / (first + 1) ELSE 0 END, 9) AS mrr, round(coalesce(ap, 0) / n, 9) AS average_precision FROM w LEFT JOIN m USING (query_id)"""
+)
+def rnk_13_metrics(spark, sf):
+    hits = lexical_hits(spark, sf)
+    q, d = F.col("query_id"), F.col("doc_key")
+    grades = hits.select("query_id", "doc_key", F.when(d % 7 == q % 7, 2).when(d % 5 == 0, 1).otherwise(0).alias("grade"))
+    missed = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(-1).cast("long").alias("doc_key"), F.lit(2).alias("grade"))
+    out = ranking.metrics(hits, grades.unionByName(missed))
+    return out.select("query_id", *(F.round(c, 9).alias(c) for c in ("recall_10", "precision_10", "ndcg_10", "mrr", "average_precision")))
