@@ -25,7 +25,7 @@ from .shared import prepare_workers
 
 LONG = 512
 #: Entries of a worker's table of chunks; it is emptied when full.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 250_000
 #: White space as Unicode defines it, which the tokenizers' patterns mean by \s.
 SPACE = "\t-\r \x85\xa0  -     　"
 NONE = np.int32(-1)
@@ -191,11 +191,12 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         cut = [self.chunks(t) for t in texts]
-        missing = {c for chunks in cut for c in chunks if c not in known}
+        every = set().union(*cut)
+        missing = every - known.keys()
         if missing:
             if len(known) + len(missing) > MOST_CHUNKS:
                 known.clear()
-                missing = {c for chunks in cut for c in chunks}
+                missing = every
             parts = {c: [p.encode() for p in self.pieces(c)] for c in missing}
             ids = self.merge(list({p for ps in parts.values() for p in ps}))
             known.update((c, b"".join(map(ids.__getitem__, ps))) for c, ps in parts.items())
@@ -212,32 +213,38 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(ranks, pattern)
 
 
-def _slices(values, most: int = 1 << 22):
-    """Parts of a list of strings of about ``most`` characters."""
+def _slices(values: list, most: int = 1 << 20):
+    """(place of the first, values) of parts of about ``most`` characters or bytes."""
     at, size = 0, 0
     for k, value in enumerate(values):
         size += len(value)
         if size >= most:
-            yield values[at : k + 1]
+            yield at, values[at : k + 1]
             at, size = k + 1, 0
     if at < len(values):
-        yield values[at:]
+        yield at, values[at:]
 
 
-def _with_column(df: DataFrame, name: str, source: str, function) -> DataFrame:
-    """``df`` with a binary column made by ``function`` from the values of ``source``."""
-    from pyspark.sql.types import BinaryType, StructField, StructType
+def _with_columns(df: DataFrame, fields: dict[str, str], source: str, function) -> DataFrame:
+    """``df`` with columns (name to type) that ``function`` makes, as lists, from a list of the values of ``source``."""
+    from pyspark.sql.types import StructType
 
     at = df.columns.index(source)
-    columns = [c for c in df.columns if c != name]
-    schema = StructType([f for f in df.schema.fields if f.name != name] + [StructField(name, BinaryType())])
+    columns = [c for c in df.columns if c not in fields]
+    schema = StructType([f for f in df.schema.fields if f.name not in fields])
+    for name, kind in fields.items():
+        schema = schema.add(name, kind)
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
         for batch in batches:
-            made = pa.array(function(batch.column(at)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), made], [*columns, name])
+            values = batch.column(at).to_pylist()
+            for first, part in _slices([v or (b"" if batch.column(at).type == pa.binary() else "") for v in values]):
+                rows = batch.slice(first, len(part))
+                made = [pa.array(c, kinds[k]) for c, k in zip(function(part), fields.values())]
+                yield pa.RecordBatch.from_arrays([*(rows.column(batch.schema.get_field_index(c)) for c in columns), *made], [*columns, *fields])
 
     return df.mapInArrow(run, schema)
 
@@ -245,26 +252,25 @@ def _with_column(df: DataFrame, name: str, source: str, function) -> DataFrame:
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ids_col: the token ids as little-endian unsigned 32-bit integers."""
     prepare_workers(docs.sparkSession)
-
-    def run(column):
-        vocab = vocabulary(path, pattern)
-        return [ids for part in _slices([t or "" for t in column.to_pylist()]) for ids in vocab.encode(part)]
-
-    return _with_column(docs, ids_col, text_col, run)
+    return _with_columns(docs, {ids_col: "binary"}, text_col, lambda texts: [vocabulary(path, pattern).encode(texts)])
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` with bytes_col: the bytes of the ids in ids_col."""
     prepare_workers(docs.sparkSession)
+    return _with_columns(docs, {bytes_col: "binary"}, ids_col, lambda ids: [list(map(vocabulary(path, pattern).decode, ids))])
 
-    def run(column):
-        vocab = vocabulary(path, pattern)
-        return [vocab.decode(ids or b"") for ids in column.to_pylist()]
 
-    return _with_column(docs, bytes_col, ids_col, run)
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded, and decoded from the ids, in one worker."""
+    prepare_workers(docs.sparkSession)
 
+    def run(texts):
+        from hashlib import sha256
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, encoded and decoded again."""
-    done = decode(encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), path, pattern).drop("text"), path, pattern)
-    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+        vocab = vocabulary(path, pattern)
+        ids = vocab.encode(texts)
+        return [len(x) // 4 for x in ids], [sha256(x).hexdigest() for x in ids], [sha256(vocab.decode(x)).hexdigest() for x in ids]
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return _with_columns(rows, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, "text", run).drop("text")
