@@ -32,8 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .shared import new_folder, prepare_workers, remove_folder, texts_as_bytes, write_file
 
 MAGIC = b"QTOK0001"
-#: Bytes of unpacked ids for each shard, about; entries of a worker's tables of words and of pieces; ids of one decoding step.
-SHARD_BYTES, MOST_WORDS, STEP = 32 << 20, 500_000, 1 << 20
+#: Stands between the ids of words; no vocabulary has this id.
+MARK = b"\xff\xff\xff\xff"
+#: Bytes of unpacked ids for each shard, about; entries of a generation of a worker's tables of words and of pieces; ids of one decoding step.
+SHARD_BYTES, MOST_WORDS, STEP = 32 << 20, 250_000, 1 << 20
 #: For each control byte, the bytes of its four ranks.
 LENGTHS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3) + np.uint8(1)
 
@@ -143,7 +145,7 @@ class Words:
         splits = [p["pattern"]["Regex"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
         #: the one chain whose plain words are cut here
         self.plain = re.compile(self.PLAIN).fullmatch if suffix and kinds == ["NFC", "Replace", "Lowercase"] and splits == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"] else None
-        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
+        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n").findall
         self.merger = Tokenizer(self.tokenizer.model)
         self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = spec["model"]["vocab"]
@@ -153,51 +155,63 @@ class Words:
         # how the byte-level alphabet shows bytes: printable Latin-1 as itself, the others from U+0100 on
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.alphabet = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        other = words
-        if self.plain:
-            texts = [w.decode() for w in words]
-            cuts = [self.cut(t.lower()) if self.plain(t) else None for t in texts]
-            self._learn_pieces({p for c in cuts if c for p in c})
-            get = self.pieces.__getitem__
-            self.known.update((w, b"".join(map(get, c))) for w, c in zip(words, cuts) if c is not None)
-            other = [w for w, c in zip(words, cuts) if c is None]
-        for at in range(0, len(other), 10_000):
-            part = other[at : at + 10_000]
-            done = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, done))
-
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        new = pieces - self.pieces.keys()
-        if len(self.pieces) + len(new) > MOST_WORDS:
-            self.pieces.clear()
-            new = pieces
-        todo = list(new)
-        for at in range(0, len(todo), 1000):
-            part = todo[at : at + 1000]
+        self.known, self.pieces = Table(MOST_WORDS), Table(MOST_WORDS)
+
+    def _plain_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words: cut as one text with a word on each line, put together with a mark between words."""
+        cut = self.cut("\n".join(words).lower())
+        self.pieces.keep(set(cut) - {"\n"}, self._merge)
+        self.pieces.new["\n"] = MARK
+        return b"".join(map(self.pieces.new.__getitem__, cut)).split(MARK)
+
+    def _merge(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(pieces), 1000):
+            part = pieces[at : at + 1000]
             line = " ".join(p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet) for p in part)
             ids = np.array(self.merger.encode(line, add_special_tokens=False).ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4  # a piece ends with its only end-of-word token
             if len(stops) != len(part):
                 raise ValueError("pieces and end-of-word tokens differ in number")
-            data, start = ids.tobytes(), 0
-            for piece, stop in zip(part, stops.tolist()):
-                self.pieces[piece] = data[start:stop]
-                start = stop
+            data, stops = ids.tobytes(), stops.tolist()
+            out.extend(data[a:b] for a, b in zip([0, *stops], stops))
+        return out
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        texts = [w.decode() for w in words]
+        plain = [bool(self.plain and self.plain(t)) for t in texts]
+        found = iter(self._plain_ids([t for t, p in zip(texts, plain) if p]) if any(plain) else ())
+        others = [t for t, p in zip(texts, plain) if not p]
+        rest = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
+        return [next(found) if p else np.array(next(rest).ids, "<u4").tobytes() for p in plain]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        known, cut = self.known, [t.split() for t in texts]
-        every = set().union(*cut) if cut else set()
-        new = every - known.keys()
-        if len(known) + len(new) > MOST_WORDS:
-            known.clear()
-            new = every
-        self.learn(list(new))
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        cut = [t.split() for t in texts]
+        self.known.keep(set().union(*cut) if cut else set(), self._encode_words)
+        get = self.known.new.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
+
+
+class Table:
+    """A bounded table of two generations: what was used of the older one moves on when the newer one is full."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def keep(self, keys: set, make) -> None:
+        """Afterwards ``new`` has all keys; make gives the values of a list of those that are in neither generation."""
+        missing = keys - self.new.keys()
+        if len(self.new) + len(missing) > self.most and self.new:
+            self.old, self.new = self.new, {}
+            missing = keys
+        again = missing & self.old.keys()
+        self.new.update((k, self.old[k]) for k in again)
+        todo = list(missing - again)
+        self.new.update(zip(todo, make(todo) if todo else ()))
 
 
 @lru_cache(2)
@@ -205,7 +219,7 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-def _cut(batch, column: int, most: int = 1 << 23):
+def _cut(batch, column: int, most: int = 1 << 21):
     """The texts of a batch in parts of about ``most`` bytes, with the place of the first."""
     texts = texts_as_bytes(batch.column(column))
     at, size = 0, 0
