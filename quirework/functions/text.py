@@ -5,6 +5,7 @@ Null texts count as empty unless said otherwise.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from . import vocabulary as V
@@ -37,8 +38,6 @@ def normalize_line(text: Column | str) -> Column:
 
 def nfkc(text: Column | str) -> Column:
     """Unicode compatibility composition; ASCII texts don't leave the JVM's expression."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def compose(values: pd.Series) -> pd.Series:
         return values.str.normalize("NFKC")

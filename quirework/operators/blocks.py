@@ -7,6 +7,7 @@ are windows over a document's blocks.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import predicates as P, text as X
@@ -72,8 +73,6 @@ def parse_markdown(text: str) -> list[dict]:
 
 
 def markdown_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf(MARKDOWN)
     def parse(texts: pd.Series) -> pd.Series:
         return texts.fillna("").map(parse_markdown)

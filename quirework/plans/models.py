@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -63,10 +64,6 @@ class HashedEmbedder:
 
 def embedded(text: Column, make: Callable[[], Embedder]) -> Column:
     """Embeddings of a text column; ``make`` is called once for each worker task."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()

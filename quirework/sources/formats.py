@@ -11,6 +11,7 @@ import json
 import struct
 import zlib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
@@ -64,11 +65,9 @@ def docx_text(content: bytes) -> str:
 
 def documents(files: DataFrame) -> DataFrame:
     """doc_id, path, file_type, source_type, content_hash, title, text, metadata of Markdown, text and DOCX files."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def of_docx(contents: pd.Series) -> pd.Series:
-        return contents.map(docx_text)
+        return contents.map(lambda c: docx_text(bytes(c)) if c is not None and len(c) else "")
 
     kind = F.col("file_type")
     raw = F.when(kind == "docx", of_docx(F.when(kind == "docx", F.col("content")))).otherwise(F.decode("content", "UTF-8"))
@@ -157,8 +156,6 @@ def parse_tei(xml: str) -> dict:
 
 def tei(rows: DataFrame, xml_col: str = "tei") -> DataFrame:
     """doc_id and a struct of each TEI document; a broken document gives null."""
-    import pandas as pd
-
     def safe(xml):
         import xml.etree.ElementTree as ET
 
@@ -249,8 +246,6 @@ def parse_layout(raw: str) -> dict:
 
 def layout_blocks(rows: DataFrame, json_col: str = "layout", source_type: str = "paper") -> DataFrame:
     """Blocks of layout documents (doc_id and their JSON)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def parse(values: pd.Series) -> pd.Series:
         return values.map(lambda x: json.dumps(parse_layout(x)) if x else None)
@@ -329,8 +324,6 @@ def single_matrix(content: bytes):
 
 def mat_grid(files: DataFrame) -> DataFrame:
     """The cells (matrix_id, r, c, v) of files (path, content); the path names a matrix."""
-    import pandas as pd
-
     def cells(batches):
         for batch in batches:
             for path, content in zip(batch.path, batch.content):

@@ -109,12 +109,12 @@ class Store:
 
     def _pointer(self):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_CURRENT")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path, jvm
 
     def current(self) -> str | None:
         fs, path, _ = self._pointer()
-        return self.spark.read.text(f"{self.folder}/_CURRENT").first()[0] if fs.exists(path) else None
+        return self.spark.read.text(f"{self.folder}/CURRENT").first()[0] if fs.exists(path) else None
 
     def table(self, name: str) -> DataFrame:
         snapshot = self.current()
@@ -135,7 +135,7 @@ class Store:
             rows = self.table(name) if rows is None else rows
             rows.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.parquet(f"{self.folder}/{snapshot}/{name}")
         fs, path, jvm = self._pointer()
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_CURRENT.{snapshot}")
+        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT.{snapshot}")
         out = fs.create(fresh, True)
         out.write(bytearray(snapshot.encode()))
         out.close()
