@@ -91,25 +91,24 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """64 rows of machine words: bit i of word w in row b is bit b of fingerprint 64 * w + i."""
-    padded = np.zeros(-(-max(len(fps), 1) // 64) * 64, np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """A row of machine words for each bit of (n,) or (n, words) fingerprints: bit i of word w in row b is bit b of fingerprint 64 * w + i."""
+    width = fps.shape[1] if fps.ndim > 1 else 1
+    padded = np.zeros((-(-max(len(fps), 1) // 64) * 64, width), np.uint64)
+    padded[: len(fps)] = fps.reshape(-1, width)
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def shifted(planes: np.ndarray, lanes: int) -> np.ndarray:
-    """Lane i of the result is lane i + lanes; zeros enter at the end."""
-    words, bits = divmod(lanes, 64)
-    out = np.zeros_like(planes)
-    part = planes[..., words:]
+def shifted(plane: np.ndarray, words: np.ndarray, lanes: int) -> np.ndarray:
+    """Some words of a plane that is moved so that lane i is lane i + lanes; zeros enter at the end."""
+    skip, bits = divmod(lanes, 64)
+    at = words + skip
+    n = len(plane)
+    low = np.where(at < n, plane[np.minimum(at, n - 1)], np.uint64(0))
     if not bits:
-        out[..., : part.shape[-1]] = part
-        return out
-    out[..., : part.shape[-1]] = part >> np.uint64(bits)
-    if part.shape[-1] > 1:
-        out[..., : part.shape[-1] - 1] |= part[..., 1:] << np.uint64(64 - bits)
-    return out
+        return low
+    high = np.where(at + 1 < n, plane[np.minimum(at + 1, n - 1)], np.uint64(0))
+    return low >> np.uint64(bits) | high << np.uint64(64 - bits)
 
 
 def within(differences, dead: np.ndarray, radius: int, width: int = 64) -> np.ndarray:
@@ -127,7 +126,7 @@ def within(differences, dead: np.ndarray, radius: int, width: int = 64) -> np.nd
         for level in range(levels):
             counts[level], carry = counts[level] ^ carry, counts[level] & carry
         gone = gone | carry
-        if b % 8 == 7 or b == width - 1:
+        if b % (width // 8) == width // 8 - 1:
             # more than the radius: compare the sliced counter with the constant, from the top bit down
             more, equal = np.zeros_like(gone), np.full_like(gone, ALL)
             for level in reversed(range(levels)):
@@ -166,8 +165,7 @@ def neighbours(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarr
     for d in range(1, int((runs - at).max(initial=0))):
         valid = runs - at > d
         dead = ~mask_of(valid, planes.shape[1] * 64)
-        other = shifted(planes, d)
-        found = lanes_of(within(lambda b, words: planes[b, words] ^ other[b, words], dead, radius))
+        found = lanes_of(within(lambda b, words, d=d: planes[b, words] ^ shifted(planes[b], words, d), dead, radius, len(planes)))
         left.append(found)
         right.append(found + d)
     return (np.concatenate(left), np.concatenate(right)) if left else (at[:0], at[:0])
@@ -195,8 +193,9 @@ def components_of_bucket(fps: np.ndarray, radius: int) -> np.ndarray:
         left -= 1
         queue = [first]
         while queue and left:
-            member = int(fps[queue.pop()])
-            found = lanes_of(within(lambda b, words: planes[b, words] ^ (ALL if member >> b & 1 else np.uint64(0)), dead, radius))
+            k = queue.pop()
+            member = np.unpackbits(np.ascontiguousarray(fps[k : k + 1]).view(np.uint8), bitorder="little").tolist()
+            found = lanes_of(within(lambda b, words, member=member: planes[b, words] ^ (ALL if member[b] else np.uint64(0)), dead, radius, len(planes)))
             if len(found):
                 root[rest[found]] = first
                 np.bitwise_or.at(dead, found // 64, np.uint64(1) << (found % 64).astype(np.uint64))
@@ -210,18 +209,18 @@ def components_of_bucket(fps: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def links_of_rows(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fp, smaller fp) links of rows that are sorted by bucket: one at most for each row."""
+def links_of_rows(keys: np.ndarray, fps: np.ndarray, radius: int, small_size: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first row that it reaches) of rows that are sorted by bucket: one link at most for each row."""
     n = len(fps)
     first = np.concatenate(([True], keys[1:] != keys[:-1]))
     begin = np.flatnonzero(first)
     end = np.append(begin[1:], n)
     size = end - begin
     root = np.arange(n)
-    for k in np.flatnonzero(size > SMALL).tolist():
+    for k in np.flatnonzero(size > small_size).tolist():
         a, b = begin[k], end[k]
         root[a:b] = a + components_of_bucket(fps[a:b], radius)
-    small = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+    small = np.flatnonzero(np.repeat((size > 1) & (size <= small_size), size))
     if len(small):
         run = np.cumsum(np.concatenate(([True], keys[small][1:] != keys[small][:-1]))) - 1
         last = np.searchsorted(run, np.arange(run[-1] + 1), side="right")
@@ -232,7 +231,7 @@ def links_of_rows(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nd
         for k in small.tolist():
             root[k] = _root(root, k)
     linked = np.flatnonzero(root != np.arange(n))
-    return fps[linked], fps[root[linked]]
+    return linked, root[linked]
 
 
 def _root(root: np.ndarray, k: int) -> int:
@@ -275,7 +274,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
         def out(keys, found):
             a, b = links_of_rows(keys, found.view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["fp", "other"])
+            return pa.RecordBatch.from_arrays([pa.array(found[a]), pa.array(found[b])], ["fp", "other"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count, limit = 0, BLOCK_ROWS
@@ -348,9 +347,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_
     return found.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, with all its columns: that of the smallest doc_id (null last; of equal ids, the smallest text_key)."""
-    groups = near_duplicates(docs, shingle, radius, id_col, text_col)
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int | None = None, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, with all its columns: that of the smallest doc_id (null last; of equal ids, the smallest text_key).
+
+    Groups are those of similar shingles, or with a radius those of 64-bit fingerprints.
+    """
+    groups = similar_groups(docs, shingle, similarity, id_col, text_col) if radius is None else near_duplicates(docs, shingle, radius, id_col, text_col)
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("__id"), F.col("best.text_key").alias("__key"))
     rows = docs.withColumn("__text_key", F.xxhash64(F.col(text_col).cast("string")))
@@ -360,5 +362,114 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_col: st
     return rows.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n", "__text_key")
 
 
+# --- groups by similarity -------------------------------------------------------------------------
+
+
+def odd_bits(similarity: float) -> float:
+    """The share of bits in which the fingerprints of two texts differ whose sets of shingles have that Jaccard similarity."""
+    from math import acos, pi
+
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def bands_for(n: int, similarity: float, missed: float = 0.01) -> tuple[int, int, int, int]:
+    """(bits of a band, bands, 64-bit words of a fingerprint, radius) for n texts.
+
+    A band has so many bits that random texts share a bucket with 32 others at most on average; there are so
+    many bands that of pairs with just the similarity, the share ``missed`` at most has no band in common. The
+    radius is the expected distance of such a pair and one standard deviation.
+    """
+    from math import ceil, log, log2, sqrt
+
+    p = odd_bits(similarity)
+    width = max(12, ceil(log2(max(n, 1) / 32)))
+    bands = ceil(log(missed) / log(1 - (1 - p) ** width))
+    words = -(-width * bands // 64)
+    return width, bands, words, int(64 * words * p + sqrt(64 * words * p * (1 - p)))
+
+
+MIXERS = 0x9E3779B97F4A7C15
+
+
+def wide_fingerprint(text: bytes, shingle: int, words: int) -> bytes:
+    """64 * words bits of the set of a text's shingles: each shingle's hash is mixed anew for each 64 bits."""
+    from xxhash import xxh64_intdigest
+
+    parts = text.translate(LOWER).split()
+    if not parts:
+        return bytes(8 * words)
+    grams = {b" ".join(parts[k : k + shingle]) for k in range(max(1, len(parts) - shingle + 1))}
+    h = np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))
+    out = []
+    for k in range(words):
+        x = h + np.uint64((k + 1) * MIXERS & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(x ^ x >> np.uint64(31)))
+    return np.array(out, "<u8").tobytes()
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key and root (long) of each row: rows of one root are near duplicates.
+
+    Fingerprints of some hundred bits are compared bit-sliced inside the buckets of bands of their bits, so
+    that nearly all pairs of at least the similarity are linked (see ``bands_for``).
+    """
+    spark = docs.sparkSession
+    prepare_workers(spark)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    width, bands, words, radius = bands_for(texts.count(), similarity)
+
+    def prints(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [wide_fingerprint(t, shingle, words) for t in texts_as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["doc_id", "text_key", "bits"])
+
+    found = written(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(prints, f"doc_id {id_type}, text_key long, bits binary").withColumn("fp", F.xxhash64("bits")), "fingerprints")
+    reps = written(found.groupBy("fp").agg(F.first("bits").alias("bits")), "representatives")
+
+    def dealt(batches):
+        """A row for each band of each fingerprint: its bucket and the fingerprint."""
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                n = part.num_rows
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, -1)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : width * bands].reshape(n, bands, width)
+                keys = bits.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)) | np.arange(bands, dtype=np.int64) << 40
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), bands)), part.column(1).take(pa.array(np.repeat(np.arange(n), bands)))], ["key", "fp", "bits"])
+
+    def linked(batches):
+        import pyarrow as pa
+
+        def out(keys, fp, raw):
+            a, b = links_of_rows(keys, np.frombuffer(b"".join(raw), np.uint64).reshape(len(keys), words), radius, 1024)
+            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["fp", "other"])
+
+        held, count, limit = [], 0, BLOCK_ROWS // 2
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()))
+            count += batch.num_rows
+            if count >= limit:
+                keys, fp, raw = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [x for h in held for x in h[2]]
+                cut = int(np.searchsorted(keys == keys[-1], True)) if keys[-1] != keys[0] else 0
+                if cut:
+                    yield out(keys[:cut], fp[:cut], raw[:cut])
+                held, count = [(keys[cut:], fp[cut:], raw[cut:])], len(keys) - cut
+                limit = max(BLOCK_ROWS // 2, 2 * count)
+        if count:
+            yield out(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [x for h in held for x in h[2]])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = reps.select("fp", "bits").mapInArrow(dealt, "key long, fp long, bits binary").repartition(n, "key").sortWithinPartitions("key", "fp")
+    roots = components(rows.mapInArrow(linked, "fp long, other long").distinct())
+    return found.join(roots, found.fp == roots.node, "left").select("doc_id", "text_key", F.coalesce("root", "fp").alias("root"))
+
+
 def hex_fingerprint(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -80,7 +80,7 @@ def test_near_duplicates(spark):
     for (i, _, _, _), fp, r in zip(rows, fps, root):
         members = [rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None]
         assert got[(i, int(np.uint64(fp).astype(np.int64)))] == min(members, default=None)
-    kept = S.keep_one(docs, 4)
+    kept = S.keep_one(docs, 4, radius=4)
     assert kept.columns == docs.columns
     assert kept.count() == len(set(root))
 
@@ -96,3 +96,55 @@ def test_components(spark, edges):
     for a, b in edges:
         assert got.get(a, a) == got.get(b, b)
     assert all(got.get(r, r) == r and r < n for n, r in got.items())
+
+
+def test_wide_buckets_match_brute_force():
+    random = Random(7)
+    centres = [[random.getrandbits(64) for _ in range(6)] for _ in range(6)]
+    fps = [[near(random, w, random.randint(0, 10)) for w in random.choice(centres)] for _ in range(150)] + [[random.getrandbits(64) for _ in range(6)] for _ in range(30)]
+    distance = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
+    root = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if distance(fps[i], fps[j]) <= 60:
+                a, b = S._root(root, i), S._root(root, j)
+                root[max(a, b)] = min(a, b)
+    want = [S._root(root, k) for k in range(len(fps))]
+    array = np.array(fps, np.uint64)
+    assert S.components_of_bucket(array, 60).tolist() == want
+    keys = np.zeros(len(fps), np.int64)
+    a, b = S.links_of_rows(keys, array, 60, 1024)
+    got = list(range(len(fps)))
+    for x, y in zip(a, b):
+        got[x] = y
+    assert got == want
+
+
+def test_similar_texts_are_grouped_and_others_are_not(spark):
+    random = Random(8)
+    vocab = [f"w{k}" for k in range(3000)]
+    base = [random.choices(vocab, k=random.randint(150, 400)) for _ in range(150)]
+
+    def edited(words, n):
+        words = list(words)
+        for k in random.sample(range(len(words)), n):
+            words[k] = "edit"
+        return words
+
+    def jaccard(a, b):
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    close = [edited(b, max(1, len(b) // 90)) for b in base]
+    far = [edited(b, len(b) // 6) for b in base]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base + close + far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {r.doc_id: r.root for r in S.similar_groups(docs).collect()}
+    near_pairs = [k for k in range(150) if jaccard(base[k], close[k]) >= 0.82]
+    assert len(near_pairs) > 100
+    assert sum(root[k] == root[150 + k] for k in near_pairs) >= 0.97 * len(near_pairs)
+    assert all(jaccard(base[k], far[k]) < 0.6 for k in range(150))
+    assert sum(root[k] == root[300 + k] for k in range(150)) <= 2
+    assert len({root[k] for k in range(150)}) == 150
+    kept = {r.doc_id for r in S.keep_one(docs).collect()}
+    assert set(range(150)) <= kept
