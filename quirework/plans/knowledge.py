@@ -22,20 +22,33 @@ class KnowledgeBase:
 
     # --- ingest ---
 
-    def parsed(self, files: DataFrame) -> dict[str, DataFrame]:
-        """Tables of files (path, file_type, content_hash, content)."""
+    def _staged(self, stage: str, name: str, rows: DataFrame) -> DataFrame:
+        """Rows written to the batch's staging folder and read again: each step of an ingest runs once."""
+        path = f"{self.folder}/staging/{stage}/{name}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _unstage(self, stage: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/staging/{stage}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def parsed(self, files: DataFrame, stage: str) -> dict[str, DataFrame]:
+        """Tables of files (path, file_type, content_hash, content), staged."""
         s, now = self.s, F.current_timestamp()
-        docs = formats.documents(files)
+        docs = self._staged(stage, "texts", formats.documents(files))
         blocks = formats.document_blocks(docs)
         docs = formats.titles(docs, blocks)
         if s.enable_cleaning:
             blocks = B.annotate(blocks, s.repeated_headers, s.repeated_header_min_pages, s.exclude_references)
+        blocks = self._staged(stage, "blocks", blocks)
         heads = docs.select("doc_id", "title", F.col("path").alias("source_path"), "source_type", "file_type")
         parents, assets = chunks.parents(blocks, heads, most=s.parent_chunk_max_tokens, least=s.parent_chunk_min_tokens, cleaning=s.enable_cleaning)
-        kids = chunks.children(parents, s.child_chunk_size, s.child_chunk_overlap)
+        parents = self._staged(stage, "parents", parents)
+        kids = self._staged(stage, "children", chunks.children(parents, s.child_chunk_size, s.child_chunk_overlap))
         vectors = kids.select("child_id", F.col("embedding_text").alias("document"), embedded(F.col("embedding_text"), self.make_embedder).alias("embedding"))
         tables = {"documents": docs.withColumn("source_path", F.col("path")), "parent_chunks": parents, "child_chunks": kids, "assets": assets, "child_vectors": vectors}
-        return {n: self._shaped(n, t.withColumns({c: now for c in ("created_at", "updated_at") if c not in t.columns})) for n, t in tables.items()} | {"blocks": blocks}
+        return {n: self._shaped(n, t.withColumns({c: now for c in ("created_at", "updated_at") if c not in t.columns})) for n, t in tables.items()} | {"blocks": blocks, "pieces": kids}
 
     def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
         from ..sources.store import SCHEMAS
@@ -57,14 +70,17 @@ class KnowledgeBase:
         if not paths:
             return {"statuses": statuses, "counters": {}, "warnings": []}
         files = formats.scan(self.spark, paths)
-        made = self.parsed(files)
-        blocks = made.pop("blocks")
-        stats = quality.document_stats(made["documents"], made["parent_chunks"], chunks.children(made["parent_chunks"], self.s.child_chunk_size, self.s.child_chunk_overlap), made["assets"], blocks, self.s.parent_chunk_max_tokens, self.s.child_chunk_size)
+        import uuid
+
+        stage = uuid.uuid4().hex
+        made = self.parsed(files, stage)
+        blocks, pieces = made.pop("blocks"), made.pop("pieces")
+        stats = self._staged(stage, "stats", quality.document_stats(made["documents"], made["parent_chunks"], pieces, made["assets"], blocks, self.s.parent_chunk_max_tokens, self.s.child_chunk_size))
         if skip_quality_failures:
             bad = quality.blocked(stats).select("doc_id")
             made = {n: t.join(bad, "doc_id", "left_anti") if "doc_id" in t.columns else t for n, t in made.items()}
         counters = quality.merged(stats).first().asDict()
-        warnings = [r.warning for r in quality.mojibake_warnings(chunks.children(made["parent_chunks"], self.s.child_chunk_size, self.s.child_chunk_overlap)).collect()]
+        warnings = [r.warning for r in quality.mojibake_warnings(pieces).collect()]
         if not dry_run:
             old = self.store.table("documents").join(made["documents"].select("source_path"), "source_path").select("doc_id")
             from ..sources.store import KEPT, KEYS, upsert, without
@@ -72,6 +88,7 @@ class KnowledgeBase:
             kept = without(self.store.tables(), old)
             self.store.publish({n: upsert(kept[n], made[n], KEYS[n], KEPT[n]) if n in made else kept[n] for n in kept})
             self.rebuild_index()
+        self._unstage(stage)
         return {"statuses": statuses, "counters": counters, "warnings": warnings}
 
     def _tokens(self):

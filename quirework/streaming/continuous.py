@@ -24,16 +24,19 @@ def ingest_stream(kb, folder: str, checkpoint: str, once: bool = True):
     """Starts a query that ingests the files of a folder into a knowledge base."""
     from ..sources.store import KEPT, KEYS, upsert
 
-    def batch(files: DataFrame, _: int) -> None:
+    def batch(files: DataFrame, number: int) -> None:
         known = kb.store.table("documents").select("content_hash")
         fresh = files.where("file_type is not null").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti").persist()
         try:
             if fresh.take(1):
-                made = kb.parsed(fresh.select("path", "file_type", "content_hash", "content"))
-                made.pop("blocks")
+                import uuid
+
+                stage = f"batch-{number}-{uuid.uuid4().hex}"
+                made = kb.parsed(fresh.select("path", "file_type", "content_hash", "content"), stage)
                 old = kb.store.tables()
                 kb.store.publish({n: upsert(old[n], made[n], KEYS[n], KEPT[n]) if n in made else old[n] for n in old})
                 kb.rebuild_index()
+                kb._unstage(stage)
         finally:
             fresh.unpersist()
 
