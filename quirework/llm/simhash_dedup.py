@@ -382,7 +382,7 @@ def bands_for(n: int, similarity: float, missed: float = 0.01) -> tuple[int, int
     from math import ceil, log, log2, sqrt
 
     p = odd_bits(similarity)
-    width = max(12, ceil(log2(max(n, 1) / 32)))
+    width = max(13, ceil(log2(max(n, 1) / 32)))
     bands = ceil(log(missed) / log(1 - (1 - p) ** width))
     words = -(-width * bands // 64)
     return width, bands, words, int(64 * words * p + sqrt(64 * words * p * (1 - p)))
