@@ -126,7 +126,7 @@ def records(content):
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> int:
-    """Writes pages as archives folder/part-NNNNN.warc.gz; returns their number."""
+    """Writes pages as archives folder/part-NNNNN-NNNN.warc.gz; returns their number. An archive ends once it has ``archive_bytes``."""
     spark = pages.sparkSession
     prepare_workers(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
@@ -134,32 +134,32 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
     # page ids in order, null last
     order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"))
     first = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "size", "first")
-    size = rows.agg(F.sum("size")).first()[0] or 0
 
     def run(batches):
-        from pyspark import TaskContext
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), []
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def archive():
-            for batch in batches:
-                for page_id, url, html, sha, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
-                    made.append(1)
-                    yield record(page_id, url, html.encode(), base64.b32encode(bytes.fromhex(sha)).decode(), refers_to, revisit)
+            n = write_file(f"{folder}/part-{part:05d}-{number:04d}.warc.gz", held)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([n], pa.int64())], ["part", "n", "bytes"])
 
-        parts = archive()
-        head = next(parts, None)
-        if head is not None:
-            from itertools import chain
-
-            n = write_file(f"{folder}/part-{part:05d}.warc.gz", chain([head], parts))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(made)], pa.int64()), pa.array([n], pa.int64())], ["part", "n", "bytes"])
+        for batch in batches:
+            for page_id, url, html, sha, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(record(page_id, url, html.encode(), base64.b32encode(bytes.fromhex(sha)).decode(), refers_to, revisit))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield archive()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield archive()
 
     joined = rows.join(first, ["sha", "size"], "left")
     revisit = F.coalesce(order != F.col("first"), F.lit(False))
     ready = joined.select("page_id", "url", "html", "sha", F.when(revisit, F.col("first.page_id")).alias("refers_to"), revisit.alias("revisit"))
-    done = ready.repartition(max(1, -(-size // archive_bytes))).mapInArrow(run, "part int, n long, bytes long")
+    # the join's partitions are the archives: no other shuffle of the pages
+    done = ready.mapInArrow(run, "part int, n long, bytes long")
     return len(done.collect())  # a row for each archive
 
 
@@ -208,9 +208,9 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
-bits AS (SELECT p.page_id, p.h, p.html, f.first, list_transform(range(0, 40), i -> strpos('0123456789abcdef', substr(p.h, i + 1, 1)) - 1) AS x FROM p JOIN f ON p.h = f.h)
+bits AS (SELECT p.page_id, p.h, p.html, f.first, list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', substr(p.h, i + 1, 1)) - 1) AS x FROM p JOIN f ON p.h = f.h)
 SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((x[CAST(5 * i // 4 AS INT) + 1] * 16 + coalesce(x[CAST(5 * i // 4 AS INT) + 2], 0)) // CAST(pow(2, 3 - (5 * i) % 4) AS INT) AS INT) % 32, 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((x[CAST(5 * i // 4 AS INT) + 1] * 16 + coalesce(x[CAST(5 * i // 4 AS INT) + 2], 0)) // CAST(pow(2, 3 - (5 * i) % 4) AS INT) AS INT) % 32, 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM bits
