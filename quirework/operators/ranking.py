@@ -32,12 +32,18 @@ def ranked(hits: DataFrame, *order) -> DataFrame:
 
 
 def hybrid(dense: DataFrame, lexical: DataFrame, key: str = "doc_key", k: int = RRF_K) -> DataFrame:
-    """Fusion where both lists of a query have hits, else the list that has."""
-    fused = fuse(dense, lexical, key=key, k=k)
-    both = dense.select("query_id").distinct().intersect(lexical.select("query_id").distinct())
-    single = dense.unionByName(lexical).join(both, "query_id", "left_anti")
-    alone = single.select("query_id", key, F.lit(None).cast("double").alias("rrf_score"), "score", F.struct(F.lit(0).alias("list"), F.col("rank").alias("rank")).alias("first"), F.array("method").alias("methods"), "rank")
-    return fused.join(both, "query_id", "left_semi").unionByName(alone)
+    """Fusion where both lists of a query have hits, else the list that has, as it is."""
+    columns = ("query_id", key, "rank", "score", "method")
+    every = dense.select(*columns, F.lit(0).alias("list")).unionByName(lexical.select(*columns, F.lit(1).alias("list")))
+    of_query = Window.partitionBy("query_id")
+    every = every.withColumn("both", F.min("list").over(of_query) != F.max("list").over(of_query))
+    seen = F.struct("list", "rank")
+    # a hit of a single list stays a group of its own
+    fused = every.groupBy("query_id", key, "both", F.when(~F.col("both"), F.col("rank")).alias("own")).agg(
+        F.sum(1 / (k + F.col("rank") + 1)).alias("rrf"), F.min_by("score", seen).alias("score"), F.min(seen).alias("first"), F.array_sort(F.collect_set("method")).alias("methods")
+    )
+    fused = fused.withColumn("rrf_score", F.when(F.col("both"), F.col("rrf"))).drop("rrf", "own", "both")
+    return ranked(fused, F.desc(F.round("rrf_score", 12)), "first")
 
 
 def rerank(hits: DataFrame, scorer: Column, top: int) -> DataFrame:
