@@ -171,11 +171,16 @@ def neighbours(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarr
     return (np.concatenate(left), np.concatenate(right)) if left else (at[:0], at[:0])
 
 
+def bits_of(fps: np.ndarray, k: int) -> list[int]:
+    return np.unpackbits(np.ascontiguousarray(fps[k : k + 1]).view(np.uint8), bitorder="little").tolist()
+
+
 def components_of_bucket(fps: np.ndarray, radius: int) -> np.ndarray:
     """For each member of one large bucket, the index of the first member that it reaches.
 
     A member that was reached is compared with those not reached so far only: near copies of each other
-    leave at once, and the words of lanes that are left are packed anew as they become few.
+    leave at once, and the words of lanes that are left are packed anew as they become few. Once fewer are left
+    than wait for their turn, those that are left are held against all that wait instead.
     """
     n = len(fps)
     root = np.arange(n)
@@ -193,8 +198,20 @@ def components_of_bucket(fps: np.ndarray, radius: int) -> np.ndarray:
         left -= 1
         queue = [first]
         while queue and left:
+            if len(queue) > 2 * left:
+                # fewer are left than wait: hold each of those against all that wait
+                waiting, count = planes_of(fps[np.array(queue)]), len(queue)
+                unused, queue = ~mask_of(np.ones(count, bool), waiting.shape[1] * 64), []
+                for lane in lanes_of(~dead).tolist():
+                    member = bits_of(fps, rest[lane])
+                    if within(lambda b, words, member=member: waiting[b, words] ^ (ALL if member[b] else np.uint64(0)), unused, radius, len(waiting)).any():
+                        root[rest[lane]] = first
+                        dead[lane // 64] |= np.uint64(1) << np.uint64(lane % 64)
+                        left -= 1
+                        queue.append(int(rest[lane]))
+                continue
             k = queue.pop()
-            member = np.unpackbits(np.ascontiguousarray(fps[k : k + 1]).view(np.uint8), bitorder="little").tolist()
+            member = bits_of(fps, k)
             found = lanes_of(within(lambda b, words, member=member: planes[b, words] ^ (ALL if member[b] else np.uint64(0)), dead, radius, len(planes)))
             if len(found):
                 root[rest[found]] = first
@@ -448,7 +465,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
         import pyarrow as pa
 
         def out(keys, fp, raw):
-            a, b = links_of_rows(keys, np.frombuffer(b"".join(raw), np.uint64).reshape(len(keys), words), radius, 1024)
+            a, b = links_of_rows(keys, np.frombuffer(b"".join(raw), np.uint64).reshape(len(keys), words), radius, 2 * SMALL)
             return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["fp", "other"])
 
         held, count, limit = [], 0, BLOCK_ROWS // 2
