@@ -145,6 +145,7 @@ class Words:
         splits = [p["pattern"]["Regex"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
         #: the one chain whose plain words are cut here
         self.plain = re.compile(self.PLAIN).fullmatch if suffix and kinds == ["NFC", "Replace", "Lowercase"] and splits == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"] else None
+        self.plain_lines = self.plain and re.compile(rf"(?:{self.PLAIN}\n)*{self.PLAIN}").fullmatch
         self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n").findall
         self.merger = Tokenizer(self.tokenizer.model)
         self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -154,12 +155,12 @@ class Words:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         # how the byte-level alphabet shows bytes: printable Latin-1 as itself, the others from U+0100 on
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        self.alphabet = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.alphabet = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in shown) if b != 0x20}
         self.known, self.pieces = Table(MOST_WORDS), Table(MOST_WORDS)
 
-    def _plain_ids(self, words: list[str]) -> list[bytes]:
-        """The ids of plain words: cut as one text with a word on each line, put together with a mark between words."""
-        cut = self.cut("\n".join(words).lower())
+    def _plain_ids(self, lines: str) -> list[bytes]:
+        """The ids of plain words, one on each line: cut as one text, put together with a mark between words."""
+        cut = self.cut(lines.lower())
         self.pieces.keep(set(cut) - {"\n"}, self._merge)
         self.pieces.new["\n"] = MARK
         return b"".join(map(self.pieces.new.__getitem__, cut)).split(MARK)
@@ -168,7 +169,9 @@ class Words:
         out = []
         for at in range(0, len(pieces), 1000):
             part = pieces[at : at + 1000]
-            line = " ".join(p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet) for p in part)
+            line = " ".join(part)
+            if not line.isascii():
+                line = line.encode().decode("latin-1").translate(self.alphabet)
             ids = np.array(self.merger.encode(line, add_special_tokens=False).ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4  # a piece ends with its only end-of-word token
             if len(stops) != len(part):
@@ -179,9 +182,12 @@ class Words:
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of distinct words."""
-        texts = [w.decode() for w in words]
+        lines = b"\n".join(words).decode()
+        if self.plain_lines and self.plain_lines(lines):
+            return self._plain_ids(lines)
+        texts = lines.split("\n")
         plain = [bool(self.plain and self.plain(t)) for t in texts]
-        found = iter(self._plain_ids([t for t, p in zip(texts, plain) if p]) if any(plain) else ())
+        found = iter(self._plain_ids("\n".join(t for t, p in zip(texts, plain) if p)) if any(plain) else ())
         others = [t for t, p in zip(texts, plain) if not p]
         rest = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
         return [next(found) if p else np.array(next(rest).ids, "<u4").tobytes() for p in plain]
@@ -204,11 +210,11 @@ class Table:
 
     def keep(self, keys: set, make) -> None:
         """Afterwards ``new`` has all keys; make gives the values of a list of those that are in neither generation."""
-        missing = keys - self.new.keys()
+        missing = {k for k in keys if k not in self.new}
         if len(self.new) + len(missing) > self.most and self.new:
             self.old, self.new = self.new, {}
             missing = keys
-        again = missing & self.old.keys()
+        again = {k for k in missing if k in self.old}
         self.new.update((k, self.old[k]) for k in again)
         todo = list(missing - again)
         self.new.update(zip(todo, make(todo) if todo else ()))
