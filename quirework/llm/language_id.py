@@ -105,14 +105,14 @@ class Model:
         begin = 0
         while begin < len(parts):
             end, size = begin, 0
-            while end < len(parts) and (size < STEP or end == begin):
+            while end < len(parts) and (end == begin or size + len(parts[end]) <= STEP):
                 size += len(parts[end])
                 end += 1
             group = parts[begin:end]
             data = np.frombuffer(b"".join(group), np.uint8)
             stops = np.cumsum([len(p) for p in group])
             starts = stops - [len(p) for p in group]
-            if len(data) > 4 * STEP:  # one text beyond the step: in pieces that overlap by an n-gram
+            if len(data) > STEP:  # one text, as a group of several ends before the step: in pieces that overlap by an n-gram
                 for order, size in enumerate(ORDERS):
                     for at in range(0, len(data), STEP):
                         h = hashes(data[at : at + STEP + size - 1])[order][:STEP]

@@ -29,6 +29,17 @@ def test_margins_match_a_plain_sum(monkeypatch):
     assert np.allclose(model.margins(texts)[0], plain)
 
 
+def test_margins_of_small_texts_before_a_huge_one(monkeypatch):
+    model = L.Model(list("abcd"), np.random.default_rng(2).integers(0, 50, (4, 1 << L.BITS)).astype(float))
+    monkeypatch.setattr(L, "STEP", 64)
+    texts = [b"one small text", b"another one", b"some long words here " * 40, b"the last", b"x" * 62, b"y" * 63, b""]
+    margin, n = model.margins(texts)
+    for t, m, count in zip(texts, margin, n):
+        h = np.concatenate(L.hashes(np.frombuffer(L.folded(t), np.uint8)))
+        assert count == len(h)
+        assert np.allclose(m, model.weights[h].sum(0, dtype=float) / max(1, len(h)))
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}
