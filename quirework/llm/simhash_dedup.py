@@ -389,12 +389,12 @@ def odd_bits(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-def bands_for(n: int, similarity: float, missed: float = 0.01) -> tuple[int, int, int, int]:
+def bands_for(n: int, similarity: float, missed: float = 0.0013) -> tuple[int, int, int, int]:
     """(bits of a band, bands, 64-bit words of a fingerprint, radius) for n texts.
 
     A band has so many bits that random texts share a bucket with 32 others at most on average; there are so
     many bands that of pairs with just the similarity, the share ``missed`` at most has no band in common. The
-    radius is the expected distance of such a pair and one standard deviation.
+    radius is the expected distance of such a pair and three standard deviations. Both only choose candidates.
     """
     from math import ceil, log, log2, sqrt
 
@@ -402,21 +402,27 @@ def bands_for(n: int, similarity: float, missed: float = 0.01) -> tuple[int, int
     width = max(13, ceil(log2(max(n, 1) / 32)))
     bands = ceil(log(missed) / log(1 - (1 - p) ** width))
     words = -(-width * bands // 64)
-    return width, bands, words, int(64 * words * p + sqrt(64 * words * p * (1 - p)))
+    return width, bands, words, int(64 * words * p + 3 * sqrt(64 * words * p * (1 - p)))
 
 
 MIXERS = 0x9E3779B97F4A7C15
 
 
-def wide_fingerprint(text: bytes, shingle: int, words: int) -> bytes:
-    """64 * words bits of the set of a text's shingles: each shingle's hash is mixed anew for each 64 bits."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     parts = text.translate(LOWER).split()
     if not parts:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     grams = {b" ".join(parts[k : k + shingle]) for k in range(max(1, len(parts) - shingle + 1))}
-    h = np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def wide_fingerprint(h: np.ndarray, words: int) -> bytes:
+    """64 * words bits of a set of shingles: each shingle's hash is mixed anew for each 64 bits."""
+    if not len(h):
+        return bytes(8 * words)
     out = []
     for k in range(words):
         x = h + np.uint64((k + 1) * MIXERS & 0xFFFFFFFFFFFFFFFF)
@@ -426,11 +432,40 @@ def wide_fingerprint(text: bytes, shingle: int, words: int) -> bytes:
     return np.array(out, "<u8").tobytes()
 
 
+def components_of_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set, the index of the first one that it reaches by pairs of at least that Jaccard similarity.
+
+    A set that was reached is compared with those not reached so far only, all at once.
+    """
+    root, left = np.arange(len(sets)), np.ones(len(sets), bool)
+    size = np.array([len(x) for x in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    dropped = 0
+    for first in range(len(sets)):
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue:
+            k = queue.pop()
+            at = np.minimum(np.searchsorted(sets[k], flat), max(len(sets[k]) - 1, 0))
+            common = np.bincount(owner[sets[k][at] == flat], minlength=len(sets)) if len(sets[k]) else np.zeros(len(sets), np.int64)
+            found = np.flatnonzero(left & (common >= similarity * (size + size[k] - common) - 1e-9))
+            root[found], left[found] = first, False
+            queue.extend(found.tolist())
+            dropped += len(found) + 1
+            if dropped * 4 > len(sets):
+                keep, dropped = left[owner], 0
+                flat, owner = flat[keep], owner[keep]
+    return root
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key and root (long) of each row: rows of one root are near duplicates.
 
     Fingerprints of some hundred bits are compared bit-sliced inside the buckets of bands of their bits, so
-    that nearly all pairs of at least the similarity are linked (see ``bands_for``).
+    that nearly all pairs of at least the similarity are candidates (see ``bands_for``). Inside the components of
+    candidates, texts are linked if the Jaccard similarity of their sets of shingles, counted exactly, is at
+    least the given one: what is linked doesn't depend on the fingerprints, thus nor on the number of texts.
+    Texts of equal sets are one member; a component of candidates is confirmed in one task.
     """
     spark = docs.sparkSession
     prepare_workers(spark)
@@ -440,13 +475,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
 
     def prints(batches):
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         for batch in batches:
-            made = [wide_fingerprint(t, shingle, words) for t in texts_as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["doc_id", "text_key", "bits"])
+            sets = [shingle_hashes(t, shingle) for t in texts_as_bytes(batch.column(1))]
+            bits = pa.array([wide_fingerprint(h, words) for h in sets], pa.binary())
+            fps = pa.array([xxh64_intdigest(h.tobytes(), SEED) for h in sets], pa.uint64()).view(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), bits, fps], ["doc_id", "text_key", "text", "bits", "fp"])
 
-    found = written(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(prints, f"doc_id {id_type}, text_key long, bits binary").withColumn("fp", F.xxhash64("bits")), "fingerprints")
-    reps = written(found.groupBy("fp").agg(F.first("bits").alias("bits")), "representatives")
+    found = written(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(prints, f"doc_id {id_type}, text_key long, text string, bits binary, fp long"), "fingerprints")
+    reps = written(found.groupBy("fp").agg(F.first("bits").alias("bits"), F.first("text").alias("text")), "representatives")
 
     def dealt(batches):
         """A row for each band of each fingerprint: its bucket and the fingerprint."""
@@ -484,7 +522,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = reps.select("fp", "bits").mapInArrow(dealt, "key long, fp long, bits binary").repartition(n, "key").sortWithinPartitions("key", "fp")
-    roots = components(rows.mapInArrow(linked, "fp long, other long").distinct())
+    candidates = components(rows.mapInArrow(linked, "fp long, other long").distinct())
+    candidates = candidates.union(candidates.select("root", "root").distinct())
+
+    def confirmed(table):
+        import pyarrow as pa
+
+        table = table.sort_by("fp")
+        root = components_of_sets([shingle_hashes(t, shingle) for t in texts_as_bytes(table.column("text").combine_chunks())], similarity)
+        return pa.table({"node": table.column("fp"), "root": table.column("fp").take(pa.array(root))})
+
+    members = reps.join(candidates, reps.fp == candidates.node).select("root", "fp", "text")
+    roots = members.groupBy("root").applyInArrow(confirmed, "node long, root long")
     return found.join(roots, found.fp == roots.node, "left").select("doc_id", "text_key", F.coalesce("root", "fp").alias("root"))
 
 

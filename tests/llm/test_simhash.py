@@ -148,3 +148,49 @@ def test_similar_texts_are_grouped_and_others_are_not(spark):
     assert len({root[k] for k in range(150)}) == 150
     kept = {r.doc_id for r in S.keep_one(docs).collect()}
     assert set(range(150)) <= kept
+
+
+def pairs_of_similarity(at_least, below, n, seed):
+    """Pairs of texts whose sets of five-word shingles have a Jaccard similarity in a range."""
+    random, out = Random(seed), []
+    while len(out) < n:
+        size = random.randint(150, 400)
+        a = [f"w{random.randrange(10**6)}" for _ in range(size)]
+        b = list(a)
+        for k in random.sample(range(size), random.randint(1, size // 20)):
+            b[k] = "edit"
+        x, y = ({tuple(w[k : k + 5]) for k in range(size - 4)} for w in (a, b))
+        if at_least <= len(x & y) / len(x | y) < below:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def grouped(spark, pairs):
+    rows = [(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)]
+    root = {r.doc_id: r.root for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    return [root[2 * k] == root[2 * k + 1] for k in range(len(pairs))]
+
+
+def test_links_end_at_the_similarity(spark):
+    close, far = pairs_of_similarity(0.8, 0.82, 150, 9), pairs_of_similarity(0.75, 0.8, 150, 10)
+    got = grouped(spark, close + far)
+    assert sum(got[:150]) >= 149
+    assert not any(got[150:])
+
+
+def test_components_of_sets_match_brute_force():
+    random, sets = Random(11), []
+    for _ in range(12):
+        base = random.sample(range(10**6), 60)
+        for _ in range(random.randint(1, 9)):
+            base = base[random.randint(0, 8) :] + random.sample(range(10**6), random.randint(0, 8))
+            sets.append(np.unique(np.array(base, np.uint64)))
+    random.shuffle(sets)
+    sets += [np.zeros(0, np.uint64), np.arange(5, dtype=np.uint64), np.arange(4, dtype=np.uint64)]
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(np.union1d(x, y)) and 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
+                a, b = S._root(root, i), S._root(root, j)
+                root[max(a, b)] = min(a, b)
+    assert S.components_of_sets(sets, 0.8).tolist() == [S._root(root, k) for k in range(len(sets))]
