@@ -194,3 +194,12 @@ def test_components_of_sets_match_brute_force():
                 a, b = S._root(root, i), S._root(root, j)
                 root[max(a, b)] = min(a, b)
     assert S.components_of_sets(sets, 0.8).tolist() == [S._root(root, k) for k in range(len(sets))]
+
+
+def test_links_are_the_same_at_every_size(spark, monkeypatch):
+    pairs = pairs_of_similarity(0.75, 0.8, 60, 12) + pairs_of_similarity(0.8, 0.82, 60, 13)
+    small, sized = grouped(spark, pairs), S.bands_for
+    monkeypatch.setattr(S, "bands_for", lambda n, *rest: sized(10**7, *rest))
+    large = grouped(spark, pairs)
+    assert not any(small[:60] + large[:60])
+    assert sum(small[60:]) >= 59 and sum(large[60:]) >= 59
