@@ -137,9 +137,14 @@ class Words:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        #: literal occurrences of these are one id each, as the library cuts them out before anything else
+        added = spec.get("added_tokens") or []
+        self.special = {t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in added}
+        #: tokens that take part in normalisation, or look at their neighbours, are left to the library, text by text
+        self.whole = any(t.get(k) for t in added for k in ("normalized", "single_word", "lstrip", "rstrip"))
+        self.special_cut = re.compile(b"|".join(re.escape(c) for c in sorted(self.special, key=len, reverse=True)) or rb"(?!)").sub
         suffix = spec["model"].get("end_of_word_suffix") or None
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = [p["pattern"]["Regex"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
@@ -182,6 +187,10 @@ class Words:
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of distinct words."""
+        if any(w in self.special for w in words):
+            rest = [w for w in words if w not in self.special]
+            found = iter(self._encode_words(rest) if rest else ())
+            return [self.special[w] if w in self.special else next(found) for w in words]
         lines = b"\n".join(words).decode()
         if self.plain_lines and self.plain_lines(lines):
             return self._plain_ids(lines)
@@ -194,7 +203,10 @@ class Words:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [t.split() for t in texts]
+        if self.whole:
+            return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        # white space is dropped, so that special tokens may become words of their own
+        cut = [(self.special_cut(rb" \g<0> ", t) if any(c in t for c in self.special) else t).split() for t in texts]
         self.known.keep(set().union(*cut) if cut else set(), self._encode_words)
         get = self.known.new.__getitem__
         return [b"".join(map(get, words)) for words in cut]

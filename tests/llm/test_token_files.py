@@ -10,6 +10,7 @@ from quirework.llm import token_files as K
 from quirework.llm.shared import new_folder
 
 PATH = P.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=100, deadline=None)
@@ -36,18 +37,25 @@ def test_shard_round_trip_over_steps(monkeypatch):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=80) | st.text(alphabet="aB'sſΣς̀ÀÉ \n\x0b\x1c\x85\xa0 <|endoftext|>1²", max_size=40))
 def test_words_give_the_ids_of_texts(text):
-    want = K.words_of(PATH).tokenizer.encode(text, add_special_tokens=False).ids
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(K.words_of(PATH).encode([text.encode()])[0], "<u4").tolist() == want
 
 
+def test_special_tokens_and_long_texts():
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b<|startoftext|><|endoftext|>", "<|EndOfText|>", "<|endoftext", "É<|endoftext|>\u0301x <|startoftext<|endoftext|>", "x'" * 400_000, "Ünï cödé's 12 " * 150_000, "中文" * 100_000]
+    got = K.words_of(PATH).encode([t.encode() for t in texts])
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert 49407 in np.frombuffer(got[0], "<u4")
+
+
 def test_files(spark):
     random = Random(2)
     words = "The quick Brown föx isn't jumping over 2024 lazy-dogs ... été".split()
     rows = [(k * 3 % 101, " ".join(random.choices(words, k=random.randint(0, 60))), k) for k in range(101)]
-    rows += [(None, "null id", 1), (7, None, 2), (7, "", 3), (7, "zz", 4), (7, "zz", 4)]
+    rows += [(None, "null id", 1), (7, None, 2), (7, "", 3), (7, "zz", 4), (7, "zz", 4), (8, "end<|endoftext|> it", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(6)
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want, start = [], 0
     for i, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u2").tobytes())):
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
