@@ -170,8 +170,9 @@ class Words:
         self.pieces.new["\n"] = MARK
         return b"".join(map(self.pieces.new.__getitem__, cut)).split(MARK)
 
-    def _merge(self, pieces: list[str]) -> list[bytes]:
-        out = []
+    def _merge(self, found: set[str]):
+        """(piece, ids) of pieces; ASCII ones first, as they are their own byte-level form."""
+        pieces, out = sorted(found, key=str.isascii, reverse=True), []
         for at in range(0, len(pieces), 1000):
             part = pieces[at : at + 1000]
             line = " ".join(part)
@@ -183,7 +184,7 @@ class Words:
                 raise ValueError("pieces and end-of-word tokens differ in number")
             data, stops = ids.tobytes(), stops.tolist()
             out.extend(data[a:b] for a, b in zip([0, *stops], stops))
-        return out
+        return zip(pieces, out)
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of distinct words."""
@@ -207,7 +208,7 @@ class Words:
             return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         # white space is dropped, so that special tokens may become words of their own
         cut = [(self.special_cut(rb" \g<0> ", t) if any(c in t for c in self.special) else t).split() for t in texts]
-        self.known.keep(set().union(*cut) if cut else set(), self._encode_words)
+        self.known.keep(set().union(*cut), lambda todo: zip(todo := list(todo), self._encode_words(todo)))
         get = self.known.new.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
@@ -221,15 +222,15 @@ class Table:
         self.old: dict = {}
 
     def keep(self, keys: set, make) -> None:
-        """Afterwards ``new`` has all keys; make gives the values of a list of those that are in neither generation."""
-        missing = {k for k in keys if k not in self.new}
+        """Afterwards ``new`` has all keys; make gives (key, value) pairs of those that are in neither generation."""
+        missing = keys.difference(self.new)
         if len(self.new) + len(missing) > self.most and self.new:
             self.old, self.new = self.new, {}
             missing = keys
-        again = {k for k in missing if k in self.old}
-        self.new.update((k, self.old[k]) for k in again)
-        todo = list(missing - again)
-        self.new.update(zip(todo, make(todo) if todo else ()))
+        todo = missing.difference(self.old)
+        self.new.update((k, self.old[k]) for k in missing - todo)
+        if todo:
+            self.new.update(make(todo))
 
 
 @lru_cache(2)
@@ -237,7 +238,7 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-def _cut(batch, column: int, most: int = 1 << 21):
+def _cut(batch, column: int, most: int = 1 << 22):
     """The texts of a batch in parts of about ``most`` bytes, with the place of the first."""
     texts = texts_as_bytes(batch.column(column))
     at, size = 0, 0
