@@ -77,7 +77,7 @@ def test_long_licences(spark):
     names = {"Artistic": "Artistic-1.0-Perl", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0", "BSD": "BSD-UC"}
     files = [(names.get(f.name, f.name), f.read_text(encoding="utf-8")) for f in sorted(COMMON.iterdir()) if not f.is_symlink()]
     # sentences, not statements of a copyright, may break before the word
-    broken = lambda text: "\n".join(x if statement(x.lower()) else re.sub(rf"(?<=\w) (?=copyright ({'|'.join(L.TEXT_WORDS)})\\b)", "\n", x) for x in text.split("\n"))
+    broken = lambda text: "\n".join(x if statement(x.lower()) else re.sub(rf"(?<=\w) (?=copyright ({'|'.join(L.TEXT_WORDS)})\b)", "\n", x) for x in text.split("\n"))
     rows = [(k, dress) for k, (_, text) in enumerate(files) for dress in (text, broken(text), text.upper())]
     assert sum(broken(text) != text for _, text in files) > 8
     got = {(r.doc_id, r.license_id) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
