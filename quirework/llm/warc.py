@@ -6,13 +6,14 @@ empty line, Content-Length frames the block, and the record's block digest and p
 
 Of records with equal payloads of at least ``least_bytes`` bytes, the one with the smallest page_id is the
 ``response``; the others are ``revisit`` records, which name it and keep the HTTP header but no payload. Equal
-payloads are found by SHA-1 and length, summed up per digest before anything is joined; joins by a digest that
-many pages share are split by adaptive execution.
-
-Defined cases: a null html is an empty payload; repeated rows (equal page_id and payload) are all written, one
-of them as response only if it is the smallest by (page_id, url, row) - rows that equal it in all of these are
-responses too; null page_ids come last and are named by an empty id; an empty table gives no archive; other
-columns are ignored.
+payloads are found by SHA-1 and length; only digests that occur twice or more are joined to the pages. While these
+are few (LARGEST_BROADCAST, counted before) they are broadcast, and pages stay where they were read. Beyond that,
+only digests with at least a MOST_SHARED-th of all pages are (so at most that many), and the others, none of which
+is hot, are joined by a shuffle in which pages of hot digests are dealt by their ids.
+
+Defined cases: a null html is an empty payload; null page_ids come last and are named by an empty id; of rows with
+equal page_id and payload, the one of the smallest url is the first; of rows that are equal in all three one is the
+response (any, as they don't differ), the others revisit it; an empty table gives no archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import gzip
 import hashlib
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .shared import new_folder, prepare_workers, write_file
+from .shared import new_folder, prepare_workers, write_file, written
 
 ARCHIVE_BYTES = 32 << 20
+#: Digests of repeated payloads that are broadcast at most; a digest with this share of all pages is hot.
+LARGEST_BROADCAST, MOST_SHARED = 200_000, 10_000
 STEP = 1 << 16
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -133,7 +136,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
     rows = rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
     # page ids in order, null last
     order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"))
-    first = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "size", "first")
+    places = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size", order.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    first = places.groupBy("sha", "size").agg(F.min(F.struct("place", "n")).alias("f"), F.sum("n").alias("n")).where("n > 1")
+    first = written(first.select("sha", "size", F.col("f.place").alias("first"), F.col("f.n").alias("ties"), "n"), "digests")
+    known = first.agg(F.count(F.lit(1)).alias("digests"), F.max("ties").alias("ties"), F.sum("n").alias("n")).first()
 
     def run(batches):
         import pyarrow as pa
@@ -155,10 +161,27 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
         if held:
             yield archive()
 
-    joined = rows.join(first, ["sha", "size"], "left")
+    if known.digests <= LARGEST_BROADCAST:
+        joined = rows.join(F.broadcast(first.drop("n")), ["sha", "size"], "left")
+    else:
+        # each hot digest has a share of the pages, which bounds their number
+        is_hot = F.col("n") * MOST_SHARED >= known.n
+        hot = first.where(is_hot).select("sha", "size", F.col("first").alias("hot_first"), F.col("ties").alias("hot_ties"))
+        dealt = rows.join(F.broadcast(hot), ["sha", "size"], "left")
+        dealt = dealt.withColumn("key", F.when(F.col("hot_ties").isNull(), F.col("sha")).otherwise(F.hex(F.xxhash64("page_id", "url"))))
+        cold = first.where(~is_hot).select(F.col("sha").alias("key"), "size", "first", "ties")
+        joined = dealt.join(cold, ["key", "size"], "left").withColumn("first", F.coalesce("hot_first", "first")).withColumn("ties", F.coalesce("hot_ties", "ties"))
     revisit = F.coalesce(order != F.col("first"), F.lit(False))
-    ready = joined.select("page_id", "url", "html", "sha", F.when(revisit, F.col("first.page_id")).alias("refers_to"), revisit.alias("revisit"))
-    # the join's partitions are the archives: no other shuffle of the pages
+    refers_to = F.when(F.col("revisit"), F.col("first.page_id")).alias("refers_to")
+    if (known.ties or 1) > 1:
+        # rows that are equal to the first one in all that is written: one of them is the response
+        tied = (F.col("ties") > 1) & ~revisit
+        again = F.row_number().over(Window.partitionBy("sha", "size").orderBy("page_id")) > 1
+        joined = joined.where(~F.coalesce(tied, F.lit(False))).withColumn("revisit", revisit).unionByName(joined.where(tied).withColumn("revisit", again))
+    else:
+        joined = joined.withColumn("revisit", revisit)
+    ready = joined.select("page_id", "url", "html", "sha", refers_to, "revisit")
+    # the partitions that pages come in are the archives
     done = ready.mapInArrow(run, "part int, n long, bytes long")
     return len(done.collect())  # a row for each archive
 
@@ -206,12 +229,12 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 ORACLE = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
-f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
-bits AS (SELECT p.page_id, p.h, p.html, f.first, list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', substr(p.h, i + 1, 1)) - 1) AS x FROM p JOIN f ON p.h = f.h)
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST, coalesce(url, ''))),
+bits AS (SELECT *, list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', substr(h, i + 1, 1)) - 1) AS x FROM f)
 SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((x[CAST(5 * i // 4 AS INT) + 1] * 16 + coalesce(x[CAST(5 * i // 4 AS INT) + 2], 0)) // CAST(pow(2, 3 - (5 * i) % 4) AS INT) AS INT) % 32, 1)), '') AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first END AS refers_to
 FROM bits
 """
