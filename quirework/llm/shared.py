@@ -99,3 +99,14 @@ def texts_as_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
+
+
+def packed_rows(data, lengths):
+    """Consecutive parts of an array as an Arrow column of bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    stops = np.concatenate(([0], np.cumsum(lengths) * data.itemsize))
+    if stops[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.array([data[a:b].tobytes() for a, b in zip(stops[:-1] // data.itemsize, stops[1:] // data.itemsize)], pa.binary())

@@ -29,13 +29,13 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import new_folder, prepare_workers, remove_folder, texts_as_bytes, write_file
+from .shared import new_folder, packed_rows, prepare_workers, remove_folder, texts_as_bytes, write_file
 
 MAGIC = b"QTOK0001"
 #: Stands between the ids of words; no vocabulary has this id.
 MARK = b"\xff\xff\xff\xff"
 #: Bytes of unpacked ids for each shard, about; entries of a generation of a worker's tables of words and of pieces; ids of one decoding step.
-SHARD_BYTES, MOST_WORDS, STEP = 32 << 20, 250_000, 1 << 20
+SHARD_BYTES, MOST_WORDS, STEP = 32 << 20, 200_000, 1 << 20
 #: For each control byte, the bytes of its four ranks.
 LENGTHS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3) + np.uint8(1)
 
@@ -204,13 +204,45 @@ class Words:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
+        import pyarrow as pa
+
+        ids, lengths = self.encode_column(pa.array(texts, pa.binary()).cast(pa.large_string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])] if texts else []
+
+    def encode_column(self, texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, one after the other, the number of ids of each) of an Arrow column of large strings.
+
+        Texts are cut into words, and these numbered, by Arrow; each distinct word goes through the tables once, and
+        its ids are copied to all its places by numpy. With end_id, each text gets that id at its end.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.fill_null("")
         if self.whole:
-            return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        # white space is dropped, so that special tokens may become words of their own
-        cut = [(self.special_cut(rb" \g<0> ", t) if any(c in t for c in self.special) else t).split() for t in texts]
-        self.known.keep(set().union(*cut), lambda todo: zip(todo := list(todo), self._encode_words(todo)))
-        get = self.known.new.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+            found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids + [end_id] * (end_id is not None), "<u4") for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.array(list(map(len, found)), np.int64)
+        for content in self.special:  # white space is dropped, so that special tokens may become words of their own
+            if pc.any(pc.match_substring(texts, content.decode())).as_py():
+                texts = pa.array([self.special_cut(rb" \g<0> ", t.encode()).decode() for t in texts.to_pylist()], pa.large_string())
+                break
+        cut = pc.ascii_split_whitespace(texts)
+        stops = cut.offsets.to_numpy()
+        numbered = cut.flatten().dictionary_encode()
+        places, words = numbered.indices.to_numpy(), texts_as_bytes(numbered.dictionary)
+        self.known.keep(set(words) - {b""}, lambda todo: zip(todo := list(todo), self._encode_words(todo)))
+        get = self.known.new.get  # Arrow cuts empty words before and after white space
+        values = [get(w, b"") if w else b"" for w in words] + [b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
+        # the last word of each text is the end
+        places = np.insert(places, stops[1:] - stops[0], len(words))
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        start = np.cumsum(size) - size
+        count = size[places]
+        ends = np.cumsum(count)
+        flat = np.frombuffer(b"".join(values), "<u4")
+        ids = flat[np.repeat(start[places] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(np.diff(stops) + 1)))]
+        return ids, np.diff(upto)
 
 
 class Table:
@@ -238,16 +270,18 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-def _cut(batch, column: int, most: int = 1 << 22):
-    """The texts of a batch in parts of about ``most`` bytes, with the place of the first."""
-    texts = texts_as_bytes(batch.column(column))
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= most:
-            yield at, texts[at : k + 1]
-            at, size = k + 1, 0
-    yield at, texts[at:]
+def _cut(column, most: int = 1 << 22):
+    """A column of texts in parts of about ``most`` bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = column.cast(pa.large_string())
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most)) + 1
+        yield column.slice(at, stop - at)
+        at = stop
 
 
 # --- data sets ------------------------------------------------------------------------------------
@@ -257,15 +291,17 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc
     """doc_id long and ids of each row: little-endian unsigned integers, of two bytes if the vocabulary allows it, else four."""
     prepare_workers(docs.sparkSession)
     kind = id_type(tokenizer)
-    end = np.array([end_id], kind).tobytes()
 
     def run(batches):
         import pyarrow as pa
 
         words = words_of(tokenizer)
         for batch in batches:
-            ids = [np.frombuffer(t, "<u4").astype(kind).tobytes() + end for _, texts in _cut(batch, 1) for t in words.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            at = 0
+            for part in _cut(batch.column(1)):
+                ids, lengths = words.encode_column(part, end_id)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), packed_rows(ids.astype(kind), lengths)], ["doc_id", "ids"])
+                at += len(part)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary")
