@@ -9,7 +9,7 @@ prefixes sort out most, and a direct comparison confirms an occurrence. Patterns
 of tables, so short items don't shorten the shifts of the others.
 
 The patterns are sent to the executors in blocks of at most ``block_bytes`` of benchmark text, one pass over
-the documents for each block; there is usually one.
+the documents for each block; there is usually one. A worker holds the tables of one block, about 27 times its text.
 
 Defined cases: null or empty texts, and texts without words, have no words and no hits; null or empty items
 have no windows; items of equal texts each count; an item with a null id is searched under the id null and
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import prepare_workers, texts_as_bytes
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: A-Z to a-z; all other ASCII characters but digits and a-z to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -113,7 +113,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _matcher(key: str, holder) -> Matcher:
     return Matcher(holder.value, holder.window)
 

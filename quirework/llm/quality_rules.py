@@ -186,8 +186,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that are kept, with all their columns."""
-    measured = docs.withColumn("__q", measures(F.col(text_col)))
-    model = fit(vote_counts(measured, "__q"))
-    q = F.col("__q")
-    return measured.where(~base_failed(q) & (posterior(q, model) >= KEEP_FROM)).drop("__q")
+    """The rows that are kept, with all their columns. Rows are written with their measures, so that these are taken once."""
+    from .shared import written
+
+    name = "q"
+    while name in docs.columns:
+        name += "_"
+    measured = written(docs.withColumn(name, measures(F.col(text_col))), "measured")
+    model = fit(vote_counts(measured, name))
+    q = F.col(name)
+    return measured.where(~base_failed(q) & (posterior(q, model) >= KEEP_FROM)).drop(name)

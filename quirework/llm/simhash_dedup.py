@@ -36,6 +36,13 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: Rows that are compared at once; buckets up to SMALL members are compared lane by lane with their neighbours.
 BLOCK_ROWS, SMALL = 1 << 16, 32
+#: A node with this share of all edges is a hub.
+MOST_SHARED = 10_000
+#: Rows of two numbers that are broadcast at most.
+LARGEST_BROADCAST = 500_000
+#: Members, and bytes of their texts, of a group of candidates that is confirmed in one task; members that are held
+#: against pivots at once in larger groups; pivots of the first round.
+MOST_MEMBERS, MOST_BYTES, PART, PIVOTS = 1000, 32 << 20, 500, 64
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -323,31 +330,49 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 # --- connected components -------------------------------------------------------------------------
 
 
+def with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """rows (u, v) with m of their u, from least (u, m, n: u's number of rows).
+
+    Nodes with a MOST_SHARED-th of all edges are hubs; so there are at most 2 * MOST_SHARED of them, and their m is
+    broadcast. No task gets all rows of a hub, and no other node has many.
+    """
+    hubs = least.where(F.col("n") * MOST_SHARED >= edges).select("u", F.col("m").alias("hub_m"))
+    dealt = rows.join(F.broadcast(hubs), "u", "left")
+    hot = dealt.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m"))
+    return dealt.where("hub_m is null").select("u", "v").join(least.select("u", "m"), "u").unionByName(hot)
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """node long, root long: for each node with an edge, the smallest node of its component.
 
     Edges (two long columns) of different nodes. Each round joins every node's neighbours to its smallest
-    neighbour (large star, then small star); it ends when a round changes nothing.
+    neighbour (large star, then small star); it ends when a round changes nothing. The number of rounds grows with
+    the logarithm of the nodes; if ``most_rounds`` don't do, that is an error.
     """
     a, b = edges.columns
     edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
-    before = None
+    state = F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))
+    before = edges.agg(*state).first()
     for _ in range(most_rounds):
+        if not before[0]:
+            break
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # large star: the larger neighbours of u go to the smallest one of u's neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = with_least(both.where("v > u"), least, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: the smaller neighbours of u, and u, go to the smallest of them
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small, "u")
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = with_least(large, small, before[0])
         edges = written(
             joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u != v").distinct(),
             "edges",
         )
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before or not now[0]:
+        now = edges.agg(*state).first()
+        if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -458,6 +483,66 @@ def components_of_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return root
 
 
+def links_to_pivots(sets: list[np.ndarray], pivots: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, pivot) of all pairs of at least that Jaccard similarity."""
+    size = np.array([len(x) for x in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    left, right = [], []
+    for k, pivot in enumerate(pivots):
+        if not len(pivot):
+            continue
+        at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
+        common = np.bincount(owner[pivot[at] == flat], minlength=len(sets))
+        found = np.flatnonzero(common >= similarity * (size + len(pivot) - common) - 1e-9)
+        left.append(found)
+        right.append(np.full(len(found), k))
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def confirmed_large(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, root: confirmed groups inside large components of candidates (root, fp, text), spread over tasks.
+
+    Each round holds all members of a component against some of its members, the pivots, in parts. What is linked
+    so far forms clusters; members outside a component's largest cluster are the next pivots, twice as many each
+    round. Once each of them was a pivot, no link between clusters is left to find: a link either is inside the
+    largest cluster or has an end that was a pivot. Near copies of one text are done after a round or two.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / PART))
+    sizes = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", parts.cast("long").alias("parts")), "sizes")
+    # large components only: far fewer than one for each thousand members, but counted all the same
+    sized = F.broadcast(sizes) if sizes.count() <= LARGEST_BROADCAST else sizes
+    dealt = written(members.join(sized, "root").select("root", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"), "fp", "text"), "dealt")
+
+    def held(rows, pivots):
+        import pyarrow as pa
+
+        sets, ends = ([shingle_hashes(t, shingle) for t in texts_as_bytes(x.column("text").combine_chunks())] if len(x) else [] for x in (rows, pivots))
+        a, b = links_to_pivots(sets, ends, similarity) if sets else (np.zeros(0, np.int64),) * 2
+        fps, others = (x.column("fp").to_numpy() for x in (rows, pivots))
+        return pa.table({"fp": pa.array(fps[a], pa.int64()), "other": pa.array(others[b], pa.int64())})
+
+    waiting, used, edges, pivots = members.select("root", "fp"), None, None, PIVOTS
+    while True:
+        # the sequence in which members are taken is that of a hash
+        place = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("fp"), "fp"))
+        now = written(waiting.withColumn("place", place).where(F.col("place") <= pivots).select("root", "fp"), "pivots")
+        if not now.take(1):
+            return groups
+        chosen_rows = members.join(now, ["root", "fp"], "left_semi").join(sized, "root")
+        ends = written(chosen_rows.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "fp", "text"), "ends")
+        found = dealt.groupBy("root", "part").cogroup(ends.groupBy("root", "part")).applyInArrow(held, "fp long, other long")
+        found = written(found.where("fp != other"), "links")
+        edges = found if edges is None else edges.union(found)
+        used = now if used is None else used.union(now)
+        groups = written(components(edges), "groups")
+        named = members.select(F.col("root").alias("component"), "fp").join(groups.toDF("fp", "cluster"), "fp", "left")
+        named = written(named.select("component", "fp", F.coalesce("cluster", "fp").alias("cluster")), "clusters")
+        largest = named.groupBy("component", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max(F.struct("n", "cluster")).alias("most"))
+        outside = named.join(largest.select("component", F.col("most.cluster").alias("cluster")), ["component", "cluster"], "left_anti")
+        waiting = written(outside.select(F.col("component").alias("root"), "fp").join(used, ["root", "fp"], "left_anti"), "waiting")
+        pivots *= 2
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key and root (long) of each row: rows of one root are near duplicates.
 
@@ -465,7 +550,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     that nearly all pairs of at least the similarity are candidates (see ``bands_for``). Inside the components of
     candidates, texts are linked if the Jaccard similarity of their sets of shingles, counted exactly, is at
     least the given one: what is linked doesn't depend on the fingerprints, thus nor on the number of texts.
-    Texts of equal sets are one member; a component of candidates is confirmed in one task.
+    Texts of equal sets are one member; a component of candidates is confirmed in one task if it is small
+    (MOST_MEMBERS, MOST_BYTES), and in parts by pivots if it is larger.
     """
     spark = docs.sparkSession
     prepare_workers(spark)
@@ -484,7 +570,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), bits, fps], ["doc_id", "text_key", "text", "bits", "fp"])
 
     found = written(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(prints, f"doc_id {id_type}, text_key long, text string, bits binary, fp long"), "fingerprints")
-    reps = written(found.groupBy("fp").agg(F.first("bits").alias("bits"), F.first("text").alias("text")), "representatives")
+    reps = found.groupBy("fp").agg(F.first("bits").alias("bits"))
 
     def dealt(batches):
         """A row for each band of each fingerprint: its bucket and the fingerprint."""
@@ -523,7 +609,13 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = reps.select("fp", "bits").mapInArrow(dealt, "key long, fp long, bits binary").repartition(n, "key").sortWithinPartitions("key", "fp")
     candidates = components(rows.mapInArrow(linked, "fp long, other long").distinct())
-    candidates = candidates.union(candidates.select("root", "root").distinct())
+    candidates = written(candidates.union(candidates.select("root", "root").distinct()).toDF("fp", "root"), "candidates")
+    # texts of candidates only are shuffled
+    few = F.broadcast(candidates) if candidates.count() <= LARGEST_BROADCAST else candidates
+    members = written(found.select("fp", "text").join(few, "fp").groupBy("root", "fp").agg(F.first("text").alias("text")), "members")
+    size = F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")
+    large = written(members.groupBy("root").agg(*size).where((F.col("n") > MOST_MEMBERS) | (F.col("bytes") > MOST_BYTES)).where("n > 2").select("root"), "large")
+    n_large = large.count()
 
     def confirmed(table):
         import pyarrow as pa
@@ -532,8 +624,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
         root = components_of_sets([shingle_hashes(t, shingle) for t in texts_as_bytes(table.column("text").combine_chunks())], similarity)
         return pa.table({"node": table.column("fp"), "root": table.column("fp").take(pa.array(root))})
 
-    members = reps.join(candidates, reps.fp == candidates.node).select("root", "fp", "text")
-    roots = members.groupBy("root").applyInArrow(confirmed, "node long, root long")
+    kind = "node long, root long"
+    if n_large:
+        # far fewer than one for each thousand members, but counted all the same
+        large = F.broadcast(large) if n_large <= LARGEST_BROADCAST else large
+        roots = members.join(large, "root", "left_anti").groupBy("root").applyInArrow(confirmed, kind)
+        roots = roots.unionByName(confirmed_large(members.join(large, "root", "left_semi"), shingle, similarity))
+    else:
+        roots = members.groupBy("root").applyInArrow(confirmed, kind)
     return found.join(roots, found.fp == roots.node, "left").select("doc_id", "text_key", F.coalesce("root", "fp").alias("root"))
 
 

@@ -203,3 +203,45 @@ def test_links_are_the_same_at_every_size(spark, monkeypatch):
     large = grouped(spark, pairs)
     assert not any(small[:60] + large[:60])
     assert sum(small[60:]) >= 59 and sum(large[60:]) >= 59
+
+
+def test_large_groups_are_confirmed_in_parts(spark, monkeypatch):
+    random = Random(14)
+    vocab = [f"v{k}" for k in range(5000)]
+
+    def edited(words, n):
+        words = list(words)
+        for k in random.sample(range(len(words)), n):
+            words[k] = random.choice(vocab)
+        return words
+
+    texts = []
+    for _ in range(3):  # chains of edits: near neighbours are alike, distant ones are not
+        words = random.choices(vocab, k=120)
+        for _ in range(20):
+            texts.append(words := edited(words, random.randint(1, 4)))
+    base = random.choices(vocab, k=200)
+    texts += [edited(base, random.randint(0, 8)) for _ in range(50)] + [random.choices(vocab, k=80) for _ in range(10)]
+    random.shuffle(texts)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    sets = [S.shingle_hashes(" ".join(w).encode(), 5) for w in texts]
+    want = S.components_of_sets(sets, 0.8).tolist()
+    groups = lambda root: sorted(sorted(k for k in range(len(texts)) if root[k] == r) for r in set(root))
+    plain = {r.doc_id: r.root for r in S.similar_groups(docs).collect()}
+    monkeypatch.setattr(S, "MOST_MEMBERS", 5)
+    monkeypatch.setattr(S, "PART", 7)
+    monkeypatch.setattr(S, "PIVOTS", 10)
+    split = {r.doc_id: r.root for r in S.similar_groups(docs).collect()}
+    assert groups([split[k] for k in range(len(texts))]) == groups([plain[k] for k in range(len(texts))]) == groups(want)
+
+
+def test_components_that_take_too_long_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        S.components(spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long"), most_rounds=1)
+
+
+def test_hubs_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_SHARED", 5)
+    edges = [(0, k) for k in range(1, 40)] + [(100, k) for k in range(41, 80)] + [(39, 41), (200, 201), (201, 202)]
+    got = dict(map(tuple, S.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert {got.get(k, k) for k in (*range(80), 100) if k != 40} == {0} and got[201] == got[202] == 200
