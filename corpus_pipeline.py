@@ -11,10 +11,10 @@ from quirework.llm.shared import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language identification rejects (no letter, no text); learns from the labelled documents."""
+    """Drops documents that language identification rejects: no text, no letter, or codewords too close to tell a language."""
     from quirework.llm import language_id as op
 
-    return op.filter_documents(docs, op.fit(docs))
+    return op.filter_documents(docs, op.fit(docs), reject_ambiguous=True)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
