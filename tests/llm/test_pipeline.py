@@ -69,7 +69,7 @@ def test_near_dedup(staged):
 def test_defined_cases(spark, tmp_path):
     """Nulls, empty texts, repeated rows and clashing columns pass every stage; an empty table gives an empty one."""
     good = "The quick brown fox jumps over the lazy dog and runs to the old mill by the river while it is still light outside today .\n"
-    rows = [(1, None, None, "a", None, 1), (2, "", "en", "a", 0, 1), (None, good + "one more line of words here", "en", None, 5, 1), (3, good * 2, "en", "a", 1, 1), (4, good, None, "a", 1, 1), (4, good, None, "a", 1, 1), (5, "12 34 !!", "fr", "b", 1, 1), (6, good + "and le mot " * 30_000, "en", "b", 1, 1)]
+    rows = [(1, None, None, "a", None, 1), (2, "", "en", "a", 0, 1), (None, good + "one more line of words here", "en", None, 5, 1), (3, "other words " + good * 2 + " and the rest of this text goes on about the weather in spring", "en", "a", 1, 1), (4, good, None, "a", 1, 1), (4, good, None, "a", 1, 1), (5, "12 34 !!", "fr", "b", 1, 1), (6, good + "and le mot " * 30_000, "en", "b", 1, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, q int").repartition(2)
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, docs.limit(0), SF)
@@ -80,7 +80,7 @@ def test_defined_cases(spark, tmp_path):
         if name == "language_id":
             assert {r.doc_id for r in kept.collect()} >= {None, 3, 4} and not kept.where("doc_id in (1, 2, 5)").count()
         if name == "near_dedup":
-            assert kept.where("doc_id = 4").count() == 1 and kept.where("doc_id in (1, 2)").count() == 1
+            assert kept.where("doc_id = 4").count() == 1 and kept.where("doc_id in (1, 2)").count() == 1 and kept.where("doc_id is null or doc_id in (3, 6)").count() == 3
         if name == "encoding":
             assert kept.count() == len(rows)
 
