@@ -31,7 +31,7 @@ BITS, ORDERS, MOST_DOCUMENTS = 15, (2, 3, 4), 3000
 AMBIGUOUS = 0.02
 #: Letters and bytes of non-ASCII characters stay (A-Z as a-z), all else is a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def folded(text: bytes) -> bytes:

@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the folders that are made inside, but those of tables given to what it yields."""
+    kept, before = set(), len(_MADE)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.update(p.rsplit("/", 2)[-2] for p in table.inputFiles())
+        return table
+
+    yield keep
+    for made in _MADE[before:]:
+        if made[1].rsplit("/", 1)[-1] not in kept:
+            remove_folder(*made)
+            _MADE.remove(made)
+
+
 def prepare_workers(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it."""
     top = str(Path(__file__).resolve().parents[2])

@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import prepare_workers, texts_as_bytes, written
+from .shared import prepare_workers, scratch, texts_as_bytes, written
 
 RADIUS = 4
 SEED = 42
@@ -49,24 +49,30 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 # --- fingerprints ---------------------------------------------------------------------------------
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = SEED) -> int:
+def hashes_of(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """The hash of each of a text's shingles, repeats included; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = text.translate(LOWER).split()  # at exactly \x20 and \x09-\x0D
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if n <= shingle:
-        return xxh64_intdigest(joined, seed)
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    hashes = np.fromiter(
-        (xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())),
-        np.uint64,
-        n - shingle + 1,
-    )
-    return majority(hashes)
+    del words
+    starts = np.concatenate(([0], ends[:-1] + 1))[: n - shingle + 1]
+    ends, out = ends[shingle - 1 :], np.empty(n - shingle + 1, np.uint64)
+    for at in range(0, len(out), BLOCK_ROWS):
+        a, b = starts[at : at + BLOCK_ROWS].tolist(), ends[at : at + BLOCK_ROWS].tolist()
+        out[at : at + BLOCK_ROWS] = np.fromiter((xxh64_intdigest(joined[x:y], seed) for x, y in zip(a, b)), np.uint64, len(a))
+    return out
+
+
+def fingerprint(text: bytes, shingle: int, seed: int = SEED) -> int:
+    hashes = hashes_of(text, shingle, seed)
+    return int(hashes[0]) if len(hashes) == 1 else majority(hashes) if len(hashes) else 0
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -378,15 +384,14 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, fp long, root long, component_id of each row: root names its group, component_id is the group's smallest doc_id."""
-    found = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    reps = written(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    roots = components(links(reps.select("fp"), radius))
-    grouped = written(
-        reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "grouped"
-    )
-    ids = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = written(grouped.join(ids, "root").select("fp", "root", "component_id"), "named")
-    return found.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    with scratch(docs.sparkSession) as keep:
+        found = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+        reps = written(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
+        roots = components(links(reps.select("fp"), radius))
+        grouped = written(reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "grouped")
+        ids = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
+        named = written(grouped.join(ids, "root").select("fp", "root", "component_id"), "named")
+        return keep(written(found.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id"), "groups"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int | None = None, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,20 +419,36 @@ def odd_bits(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-def bands_for(n: int, similarity: float, missed: float = 0.0013) -> tuple[int, int, int, int]:
-    """(bits of a band, bands, 64-bit words of a fingerprint, radius) for n texts.
+#: 64-bit words of the fingerprints that are compared.
+WORDS = 6
+
+
+def bands_for(n: int, similarity: float, missed: float = 0.0013) -> tuple[int, int, int]:
+    """(bits of a band, bands, radius) for n texts.
 
     A band has so many bits that random texts share a bucket with 32 others at most on average; there are so
-    many bands that of pairs with just the similarity, the share ``missed`` at most has no band in common. The
-    radius is the expected distance of such a pair and three standard deviations. Both only choose candidates.
+    many bands that of pairs with just the similarity, the share 2 * ``missed`` at most has no band in common, over
+    all numbers of odd bits that such a pair may have. The radius is the expected number and three standard
+    deviations. Both only choose candidates.
     """
-    from math import ceil, log, log2, sqrt
+    from math import ceil, comb, log2
 
-    p = odd_bits(similarity)
+    bits, p = 64 * WORDS, odd_bits(similarity)
     width = max(13, ceil(log2(max(n, 1) / 32)))
-    bands = ceil(log(missed) / log(1 - (1 - p) ** width))
-    words = -(-width * bands // 64)
-    return width, bands, words, int(64 * words * p + 3 * sqrt(64 * words * p * (1 - p)))
+    radius = int(bits * p + 3 * (bits * p * (1 - p)) ** 0.5)
+    odd = np.arange(bits + 1)
+    share = np.array([float(comb(bits, k) * (p**k) * (1 - p) ** (bits - k)) for k in range(bits + 1)])
+    equal = (1 - odd / bits) ** width  # of a band
+    bands = 1
+    while (share * (1 - equal) ** bands).sum() > 2 * missed:
+        bands += 1 + bands // 50
+    return width, bands, radius
+
+
+def band_bits(width: int, bands: int) -> np.ndarray:
+    """The bits of each band: a permutation of all bits is cut into bands, then another one."""
+    random, each = np.random.default_rng(7), 64 * WORDS // width
+    return np.concatenate([random.permutation(64 * WORDS)[: each * width].reshape(each, width) for _ in range(-(-bands // each))])[:bands]
 
 
 MIXERS = 0x9E3779B97F4A7C15
@@ -435,16 +456,10 @@ MIXERS = 0x9E3779B97F4A7C15
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending; none for a text without words."""
-    from xxhash import xxh64_intdigest
-
-    parts = text.translate(LOWER).split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    grams = {b" ".join(parts[k : k + shingle]) for k in range(max(1, len(parts) - shingle + 1))}
-    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+    return np.unique(hashes_of(text, shingle))
 
 
-def wide_fingerprint(h: np.ndarray, words: int) -> bytes:
+def wide_fingerprint(h: np.ndarray, words: int = WORDS) -> bytes:
     """64 * words bits of a set of shingles: each shingle's hash is mixed anew for each 64 bits."""
     if not len(h):
         return bytes(8 * words)
@@ -557,20 +572,30 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     prepare_workers(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    width, bands, words, radius = bands_for(texts.count(), similarity)
+    with scratch(spark) as keep:
+        return keep(written(_similar_groups(texts, shingle, similarity, id_type), "groups"))
+
+
+def _similar_groups(texts: DataFrame, shingle: int, similarity: float, id_type: str) -> DataFrame:
+    spark = texts.sparkSession
+    width, bands, radius = bands_for(texts.count(), similarity)
+    places, texts = band_bits(width, bands), texts.withColumn("text_key", F.xxhash64("text"))
 
     def prints(batches):
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            sets = [shingle_hashes(t, shingle) for t in texts_as_bytes(batch.column(1))]
-            bits = pa.array([wide_fingerprint(h, words) for h in sets], pa.binary())
-            fps = pa.array([xxh64_intdigest(h.tobytes(), SEED) for h in sets], pa.uint64()).view(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), bits, fps], ["doc_id", "text_key", "text", "bits", "fp"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_hashes(t, shingle) for t in texts_as_bytes(part.column(1))]
+                bits = pa.array([wide_fingerprint(h) for h in sets], pa.binary())
+                fps = pa.array([xxh64_intdigest(h.tobytes(), SEED) for h in sets], pa.uint64()).view(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), bits, fps], ["doc_id", "text_key", "bits", "fp"])
 
-    found = written(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(prints, f"doc_id {id_type}, text_key long, text string, bits binary, fp long"), "fingerprints")
-    reps = found.groupBy("fp").agg(F.first("bits").alias("bits"))
+    found = written(texts.mapInArrow(prints, f"doc_id {id_type}, text_key long, bits binary, fp long"), "fingerprints")
+    # of texts with one set of shingles, one stands for all: its key finds its text again
+    reps = found.groupBy("fp").agg(F.min(F.struct("text_key", "bits")).alias("r")).select("fp", "r.text_key", "r.bits")
 
     def dealt(batches):
         """A row for each band of each fingerprint: its bucket and the fingerprint."""
@@ -581,7 +606,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
                 part = batch.slice(at, 500)
                 n = part.num_rows
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, -1)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : width * bands].reshape(n, bands, width)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")[:, places]
                 keys = bits.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)) | np.arange(bands, dtype=np.int64) << 40
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), bands)), part.column(1).take(pa.array(np.repeat(np.arange(n), bands)))], ["key", "fp", "bits"])
 
@@ -589,7 +614,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
         import pyarrow as pa
 
         def out(keys, fp, raw):
-            a, b = links_of_rows(keys, np.frombuffer(b"".join(raw), np.uint64).reshape(len(keys), words), radius, 2 * SMALL)
+            a, b = links_of_rows(keys, np.frombuffer(b"".join(raw), np.uint64).reshape(len(keys), WORDS), radius, 2 * SMALL)
             return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["fp", "other"])
 
         held, count, limit = [], 0, BLOCK_ROWS // 2
@@ -610,9 +635,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     rows = reps.select("fp", "bits").mapInArrow(dealt, "key long, fp long, bits binary").repartition(n, "key").sortWithinPartitions("key", "fp")
     candidates = components(rows.mapInArrow(linked, "fp long, other long").distinct())
     candidates = written(candidates.union(candidates.select("root", "root").distinct()).toDF("fp", "root"), "candidates")
-    # texts of candidates only are shuffled
-    few = F.broadcast(candidates) if candidates.count() <= LARGEST_BROADCAST else candidates
-    members = written(found.select("fp", "text").join(few, "fp").groupBy("root", "fp").agg(F.first("text").alias("text")), "members")
+    # texts of candidates only are shuffled; equal texts have equal keys
+    few = lambda rows: F.broadcast(rows) if rows.count() <= LARGEST_BROADCAST else rows
+    keys = written(reps.select("fp", "text_key").join(candidates, "fp"), "keys")
+    members = texts.select("text_key", "text").join(few(keys), "text_key").groupBy("root", "fp").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    members = written(members, "members")
     size = F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")
     large = written(members.groupBy("root").agg(*size).where((F.col("n") > MOST_MEMBERS) | (F.col("bytes") > MOST_BYTES)).where("n > 2").select("root"), "large")
     n_large = large.count()
