@@ -36,8 +36,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: Rows that are compared at once; buckets up to SMALL members are compared lane by lane with their neighbours.
 BLOCK_ROWS, SMALL = 1 << 16, 32
-#: A node with this share of all edges is a hub.
-MOST_SHARED = 10_000
+#: A node with this share of all edges is a hub; tables of fewer edges fit a task as a whole, so hubs don't matter there.
+MOST_SHARED, FEW_EDGES = 10_000, 1_000_000
 #: Rows of two numbers that are broadcast at most.
 LARGEST_BROADCAST = 500_000
 #: Members, and bytes of their texts, of a group of candidates that is confirmed in one task; members that are held
@@ -342,6 +342,8 @@ def with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
     Nodes with a MOST_SHARED-th of all edges are hubs; so there are at most 2 * MOST_SHARED of them, and their m is
     broadcast. No task gets all rows of a hub, and no other node has many.
     """
+    if edges < FEW_EDGES:
+        return rows.join(least.select("u", "m"), "u")
     hubs = least.where(F.col("n") * MOST_SHARED >= edges).select("u", F.col("m").alias("hub_m"))
     dealt = rows.join(F.broadcast(hubs), "u", "left")
     hot = dealt.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m"))
@@ -534,7 +536,17 @@ def confirmed_large(members: DataFrame, shingle: int, similarity: float) -> Data
         sets, ends = ([shingle_hashes(t, shingle) for t in texts_as_bytes(x.column("text").combine_chunks())] if len(x) else [] for x in (rows, pivots))
         a, b = links_to_pivots(sets, ends, similarity) if sets else (np.zeros(0, np.int64),) * 2
         fps, others = (x.column("fp").to_numpy() for x in (rows, pivots))
-        return pa.table({"fp": pa.array(fps[a], pa.int64()), "other": pa.array(others[b], pa.int64())})
+        # of each member's links the first, and those of its other pivots that join two groups of pivots
+        first, root = np.full(len(sets), -1), np.arange(len(ends))
+        out = []
+        for k, pivot in zip(a.tolist(), b.tolist()):
+            if first[k] < 0:
+                first[k] = pivot
+                out.append((fps[k], others[pivot]))
+            elif (x := _root(root, first[k])) != (y := _root(root, pivot)):
+                root[max(x, y)] = min(x, y)
+                out.append((fps[k], others[pivot]))
+        return pa.table({name: pa.array([row[at] for row in out], pa.int64()) for at, name in enumerate(("fp", "other"))})
 
     waiting, used, edges, pivots = members.select("root", "fp"), None, None, PIVOTS
     while True:

@@ -242,6 +242,7 @@ def test_components_that_take_too_long_are_an_error(spark):
 
 def test_hubs_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(S, "MOST_SHARED", 5)
+    monkeypatch.setattr(S, "FEW_EDGES", 0)
     edges = [(0, k) for k in range(1, 40)] + [(100, k) for k in range(41, 80)] + [(39, 41), (200, 201), (201, 202)]
     got = dict(map(tuple, S.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert {got.get(k, k) for k in (*range(80), 100) if k != 40} == {0} and got[201] == got[202] == 200
