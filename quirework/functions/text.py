@@ -100,12 +100,16 @@ def domain_terms(text: Column | str, terms: list[str]) -> Column:
 def search_tokens(text: Column | str, tokenizer: str = "char", terms: list[str] | None = None, bigrams: bool = True) -> Column:
     """The bag of search terms: words in lower case, domain terms, single CJK characters (or, for other tokenizers, all
     search tokens again), CJK bigrams. Without a word segmenter, ``jieba`` means ``char``."""
-    clean = normalize_space(text)
-    words = F.regexp_extract_all(F.lower(clean), F.lit(V.WORD), F.lit(0))
     known = tokenizer.strip().lower() in {"jieba", "jieba_search", "char", "character", "cjk_char"}
-    own = cjk_characters(clean) if known else F.regexp_extract_all(F.lower(clean), F.lit(V.SEARCH_TOKEN), F.lit(0))
-    parts = [words, domain_terms(clean, terms or []), own] + ([cjk_bigrams(clean)] if bigrams else [])
-    return F.filter(F.concat(*parts), lambda t: t != "")
+
+    def bag(clean: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(clean), F.lit(V.WORD), F.lit(0))
+        own = cjk_characters(clean) if known else F.regexp_extract_all(F.lower(clean), F.lit(V.SEARCH_TOKEN), F.lit(0))
+        parts = [words, domain_terms(clean, terms or []), own] + ([cjk_bigrams(clean)] if bigrams else [])
+        return F.filter(F.concat(*parts), lambda t: t != "")
+
+    # the normalised text is bound once
+    return let(normalize_space(text), bag)
 
 
 def normalize_search_token(token: Column | str) -> Column:
@@ -195,10 +199,13 @@ def split_text(text: Column | str, most: int, overlap: int = 0) -> Column:
 
     With an overlap, a piece begins with the last piece's trailing sentences (or tokens) of that many tokens, unless
     they and the next unit exceed the limit while the unit alone doesn't.
+
+    A unit's tokens are counted once, and a piece's count is the sum of its units': units are put together without a
+    space only after a sentence mark, before a trailing mark or beside CJK, where no token goes on.
     """
     clean = normalize_space(text)
-    state = "struct<out:array<struct<text:string,reason:string>>,now:string,reasons:array<string>>"
-    start = F.from_json(F.lit('{"out":[],"now":"","reasons":[]}'), state)
+    state = "struct<out:array<struct<text:string,reason:string>>,now:string,reasons:array<string>,n:int>"
+    start = F.from_json(F.lit('{"out":[],"now":"","reasons":[],"n":0}'), state)
 
     def closed(s: Column) -> Column:
         piece = F.array(F.struct(strip(s["now"]).alias("text"), combined_reason(s["reasons"]).alias("reason")))
@@ -206,22 +213,27 @@ def split_text(text: Column | str, most: int, overlap: int = 0) -> Column:
 
     def step(s: Column, unit: Column) -> Column:
         longer = F.when(s["now"] == "", unit["text"]).otherwise(join_text(s["now"], unit["text"]))
-        over = (s["now"] != "") & (estimated_tokens(longer) > most)
-        fresh = let(trailing_overlap(s["now"], overlap), lambda o: begun(o, unit)) if overlap > 0 else F.struct(unit["text"].alias("now"), F.array(unit["reason"]).alias("reasons"))
-        grown = F.struct(longer.alias("now"), F.concat(s["reasons"], F.array(unit["reason"])).alias("reasons"))
+        over = (s["now"] != "") & (s["n"] + unit["n"] > most)
+        alone = F.struct(unit["text"].alias("now"), F.array(unit["reason"]).alias("reasons"), unit["n"].alias("n"))
+        fresh = let(trailing_overlap(s["now"], overlap), lambda o: begun(o, unit)) if overlap > 0 else alone
+        grown = F.struct(longer.alias("now"), F.concat(s["reasons"], F.array(unit["reason"])).alias("reasons"), (s["n"] + unit["n"]).alias("n"))
         after = F.when(over, fresh).otherwise(grown)
-        return let(after, lambda a: F.struct(F.when(over, closed(s)).otherwise(s["out"]).alias("out"), a["now"].alias("now"), a["reasons"].alias("reasons")))
+        return let(after, lambda a: F.struct(F.when(over, closed(s)).otherwise(s["out"]).alias("out"), a["now"].alias("now"), a["reasons"].alias("reasons"), a["n"].alias("n")))
 
     def begun(o: Column, unit: Column) -> Column:
         both = F.when(o == "", unit["text"]).otherwise(join_text(o, unit["text"]))
-        alone = (o == "") | ((estimated_tokens(both) > most) & (estimated_tokens(unit["text"]) <= most))
+        kept = estimated_tokens(o)
+        alone = (o == "") | ((kept + unit["n"] > most) & (unit["n"] <= most))
         reasons = F.when(alone, F.array(unit["reason"])).otherwise(F.array(F.lit("overlap"), unit["reason"]))
-        return F.struct(F.when(alone, unit["text"]).otherwise(both).alias("now"), reasons.alias("reasons"))
+        return F.struct(F.when(alone, unit["text"]).otherwise(both).alias("now"), reasons.alias("reasons"), F.when(alone, unit["n"]).otherwise(kept + unit["n"]).alias("n"))
 
-    whole = F.array(F.struct(clean.alias("text"), F.lit("within_limit").alias("reason")))
-    packed = F.aggregate(boundary_units(clean, most), start, step, closed)
     none = F.array().cast("array<struct<text:string,reason:string>>")
-    return let(clean, lambda c: F.when(c == "", none).when(estimated_tokens(c) <= most, whole).otherwise(packed))
+
+    def packed(c: Column) -> Column:
+        units = F.transform(boundary_units(c, most), lambda u: F.struct(u["text"].alias("text"), u["reason"].alias("reason"), estimated_tokens(u["text"]).alias("n")))
+        return F.aggregate(units, start, step, closed)
+
+    return let(clean, lambda c: F.when(c == "", none).when(estimated_tokens(c) <= most, F.array(F.struct(c.alias("text"), F.lit("within_limit").alias("reason")))).otherwise(packed(c)))
 
 
 def mojibake_score(text: Column | str, extra: str = "") -> Column:
@@ -293,7 +305,11 @@ def token_set(text: Column | str) -> Column:
 
 def overlap(part: Column, whole: Column) -> Column:
     """The share of a text's distinct tokens that the other has too."""
-    a, b = token_set(part), token_set(whole)
+    return overlap_of(token_set(part), token_set(whole))
+
+
+def overlap_of(a: Column, b: Column) -> Column:
+    """The share of the first set's tokens that the second has too."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 

@@ -60,14 +60,16 @@ class KnowledgeBase:
         """Ingests new and changed files of folders as one snapshot: statuses, counters and warnings."""
         found = discovery.candidates(discovery.files(self.spark, folders, recursive), include, exclude)
         statuses = {f"{r.status}:{r.reason}" if r.reason else r.status: r["count"] for r in found.groupBy("status", "reason").count().collect()}
-        if reset and not dry_run:
-            self.store.reset()
-        known = self.store.table("documents").select(F.col("source_path").alias("path"), "content_hash")
+        # a reset takes effect with the new snapshot: until then, and if this fails, the old one stays
+        had = self.store.empty() if reset else self.store.tables()
+        known = had["documents"].select(F.col("source_path").alias("path"), "content_hash")
         todo = discovery.ingest_status(found.where("status = 'pending'").select("path", "content_hash"), known)
         statuses |= {r.status: r["count"] for r in todo.groupBy("status").count().collect()}
         wanted = todo.where("status in ('new', 'changed')")
         paths = [r.path for r in wanted.select("path").toLocalIterator()]
         if not paths:
+            if reset and not dry_run:
+                self.store.reset(self.write_index)
             return {"statuses": statuses, "counters": {}, "warnings": []}
         files = formats.scan(self.spark, paths)
         import uuid
@@ -82,12 +84,11 @@ class KnowledgeBase:
         counters = quality.merged(stats).first().asDict()
         warnings = [r.warning for r in quality.mojibake_warnings(pieces).collect()]
         if not dry_run:
-            old = self.store.table("documents").join(made["documents"].select("source_path"), "source_path").select("doc_id")
+            old = had["documents"].join(made["documents"].select("source_path"), "source_path").select("doc_id")
             from ..sources.store import KEPT, KEYS, upsert, without
 
-            kept = without(self.store.tables(), old)
-            self.store.publish({n: upsert(kept[n], made[n], KEYS[n], KEPT[n]) if n in made else kept[n] for n in kept})
-            self.rebuild_index()
+            kept = without(had, old)
+            self.store.publish({n: upsert(kept[n], made[n], KEYS[n], KEPT[n]) if n in made else kept[n] for n in kept}, self.write_index)
         self._unstage(stage)
         return {"statuses": statuses, "counters": counters, "warnings": warnings}
 
@@ -100,12 +101,15 @@ class KnowledgeBase:
         lines = (r.value.strip() for r in self.spark.read.text(self.s.domain_terms_path).toLocalIterator())
         return [line for line in lines if line and not line.startswith("#")]
 
-    def rebuild_index(self) -> None:
-        bm25.write(bm25.build(self.store.table("child_chunks"), "child_id", self._tokens()), f"{self.folder}/{self.store.current()}/bm25")
+    def write_index(self, snapshot: str) -> None:
+        """The BM25 index of a snapshot's folder, before anybody reads it."""
+        from ..sources.store import SCHEMAS
+
+        kids = self.spark.read.schema(SCHEMAS["child_chunks"]).parquet(f"{snapshot}/child_chunks")
+        bm25.write(bm25.build(kids, "child_id", self._tokens()), f"{snapshot}/bm25")
 
     def delete(self, doc_ids: list[str]) -> None:
-        self.store.delete(self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string"))
-        self.rebuild_index()
+        self.store.delete(self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string"), self.write_index)
 
     def status(self) -> dict:
         from ..sources.store import counts

@@ -125,8 +125,12 @@ class Store:
     def tables(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in SCHEMAS}
 
-    def publish(self, tables: dict[str, DataFrame]) -> str:
-        """Writes a snapshot of all tables and points to it."""
+    def publish(self, tables: dict[str, DataFrame], before=None) -> str:
+        """Writes a snapshot of all tables and points to it, at once.
+
+        ``before`` gets the snapshot's folder once its tables are there (an index is written then). Whatever fails up to
+        there, readers find the old snapshot whole.
+        """
         import uuid
 
         snapshot = f"snapshot-{uuid.uuid4().hex}"
@@ -134,21 +138,27 @@ class Store:
             rows = tables.get(name)
             rows = self.table(name) if rows is None else rows
             rows.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.parquet(f"{self.folder}/{snapshot}/{name}")
+        if before is not None:
+            before(f"{self.folder}/{snapshot}")
         fs, path, jvm = self._pointer()
         fresh = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT.{snapshot}")
         out = fs.create(fresh, True)
         out.write(bytearray(snapshot.encode()))
         out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(fresh, path)
+        hadoop = jvm.org.apache.hadoop.fs
+        over = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(fs.makeQualified(path).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(path), over)
         return snapshot
 
-    def add(self, tables: dict[str, DataFrame]) -> str:
-        return self.publish({n: upsert(self.table(n), rows, KEYS[n], KEPT[n]) for n, rows in tables.items()})
+    def empty(self) -> dict[str, DataFrame]:
+        return {n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
+
+    def add(self, tables: dict[str, DataFrame], before=None) -> str:
+        return self.publish({n: upsert(self.table(n), rows, KEYS[n], KEPT[n]) for n, rows in tables.items()}, before)
 
-    def delete(self, doc_ids: DataFrame) -> str:
-        return self.publish(without(self.tables(), doc_ids))
+    def delete(self, doc_ids: DataFrame, before=None) -> str:
+        return self.publish(without(self.tables(), doc_ids), before)
 
-    def reset(self) -> str:
-        return self.publish({n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
+    def reset(self, before=None) -> str:
+        return self.publish(self.empty(), before)

@@ -34,8 +34,7 @@ def ingest_stream(kb, folder: str, checkpoint: str, once: bool = True):
                 stage = f"batch-{number}-{uuid.uuid4().hex}"
                 made = kb.parsed(fresh.select("path", "file_type", "content_hash", "content"), stage)
                 old = kb.store.tables()
-                kb.store.publish({n: upsert(old[n], made[n], KEYS[n], KEPT[n]) if n in made else old[n] for n in old})
-                kb.rebuild_index()
+                kb.store.publish({n: upsert(old[n], made[n], KEYS[n], KEPT[n]) if n in made else old[n] for n in old}, kb.write_index)
                 kb._unstage(stage)
         finally:
             fresh.unpersist()
