@@ -22,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _OWN.setdefault("root", "file://" + tempfile.mkdtemp(prefix="quirework-"))
     return root.rstrip("/")
 
