@@ -27,6 +27,19 @@ def merged_sources(*results: DataFrame) -> DataFrame:
     return first_wins(every, key, "source_no", "query_no", "rank")
 
 
+def appended(*results: DataFrame) -> DataFrame:
+    """All results, one list after the other; equal ones stay."""
+    first, *rest = results
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
+def in_first_order(values: Column) -> Column:
+    """Each value of an array once, where it stands first."""
+    return F.array_distinct(values)
+
+
 def merge_messages(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Messages with those of equal id replaced by the new ones."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

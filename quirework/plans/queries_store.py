@@ -37,9 +37,9 @@ def src_19_upsert(spark, sf):
     return store.upsert(o.where("o_orderkey % 3 <> 0"), new.unionByName(new), "o_orderkey", ("o_orderdate",))
 
 
-@query("WITH w AS (SELECT l_orderkey AS o_orderkey, min(l_partkey) AS pos FROM lineitem WHERE l_shipdate < DATE '1996-01-01' GROUP BY l_orderkey) SELECT o_orderkey, o_totalprice, pos FROM orders JOIN w USING (o_orderkey)")
+@query("WITH w AS (SELECT l_orderkey AS o_orderkey, min(l_partkey) AS pos FROM lineitem WHERE l_quantity >= 45 GROUP BY l_orderkey) SELECT o_orderkey, o_totalprice, pos FROM orders JOIN w USING (o_orderkey)")
 def src_21_in_list(spark, sf):
-    wanted = table(spark, sf, "lineitem").where("l_shipdate < DATE '1996-01-01'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("pos"))
+    wanted = table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("pos"))
     return store.in_order(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", wanted, "pos")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import catalog, queries_numeric, queries_retrieval, queries_store, queries_text  # noqa: F401
+    from . import catalog, queries_numeric, queries_retrieval, queries_rows, queries_store, queries_text  # noqa: F401
 
     return catalog
 
