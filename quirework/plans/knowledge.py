@@ -33,21 +33,34 @@ class KnowledgeBase:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/staging/{stage}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def parsed(self, files: DataFrame, stage: str) -> dict[str, DataFrame]:
-        """Tables of files (path, file_type, content_hash, content), staged."""
+    def parsed(self, files: DataFrame, stage: str, sides: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Tables of files (path, file_type, content_hash, content), staged; sides names the sidecars of PDF files."""
         s, now = self.s, F.current_timestamp()
         docs = self._staged(stage, "texts", formats.documents(files))
-        blocks = formats.document_blocks(docs)
+        blocks, references, by_path = formats.document_blocks(docs), None, None
+        if sides is not None:
+            papers = self._staged(stage, "papers", formats.pdf_documents(formats.with_sidecars(self.spark, files, sides)))
+            blocks = blocks.unionByName(formats.pdf_blocks(papers), allowMissingColumns=True)
+            references, by_path = formats.tei_references(papers), papers.where("tei is not null").select("doc_id")
+            docs = docs.unionByName(papers.drop("layout", "tei"), allowMissingColumns=True)
         docs = formats.titles(docs, blocks)
         if s.enable_cleaning:
             blocks = B.annotate(blocks, s.repeated_headers, s.repeated_header_min_pages, s.exclude_references)
         blocks = self._staged(stage, "blocks", blocks)
         heads = docs.select("doc_id", "title", F.col("path").alias("source_path"), "source_type", "file_type")
-        parents, assets = chunks.parents(blocks, heads, most=s.parent_chunk_max_tokens, least=s.parent_chunk_min_tokens, cleaning=s.enable_cleaning)
+        size = {"most": s.parent_chunk_max_tokens, "least": s.parent_chunk_min_tokens, "cleaning": s.enable_cleaning}
+        if by_path is None:
+            parents, assets = chunks.parents(blocks, heads, **size)
+        else:  # sections of a TEI come as paths, others by headings
+            parents, assets = chunks.parents(blocks.join(by_path, "doc_id", "left_anti"), heads, **size)
+            more, also = chunks.parents(blocks.join(by_path, "doc_id", "left_semi"), heads, by_path=True, **size)
+            parents, assets = parents.unionByName(more), assets.unionByName(also)
         parents = self._staged(stage, "parents", parents)
         kids = self._staged(stage, "children", chunks.children(parents, s.child_chunk_size, s.child_chunk_overlap))
         vectors = kids.select("child_id", F.col("embedding_text").alias("document"), embedded(F.col("embedding_text"), self.make_embedder).alias("embedding"))
         tables = {"documents": docs.withColumn("source_path", F.col("path")), "parent_chunks": parents, "child_chunks": kids, "assets": assets, "child_vectors": vectors}
+        if references is not None:
+            tables["references"] = references
         return {n: self._shaped(n, t.withColumns({c: now for c in ("created_at", "updated_at") if c not in t.columns})) for n, t in tables.items()} | {"blocks": blocks, "pieces": kids}
 
     def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
@@ -66,6 +79,15 @@ class KnowledgeBase:
         todo = discovery.ingest_status(found.where("status = 'pending'").select("path", "content_hash"), known)
         statuses |= {r.status: r["count"] for r in todo.groupBy("status").count().collect()}
         wanted = todo.where("status in ('new', 'changed')")
+        pdfs = wanted.where("lower(path) like '%.pdf'")
+        sides = None
+        if pdfs.take(1):
+            sides = discovery.sidecars(pdfs, found)
+            lost = sides.where("layout_path is null and tei_path is null").select("path")
+            if n := lost.count():
+                statuses["failed:no_layout_or_tei"] = n
+            wanted = wanted.join(lost, "path", "left_anti")
+            sides = sides.join(lost, "path", "left_anti")
         paths = [r.path for r in wanted.select("path").toLocalIterator()]
         if not paths:
             if reset and not dry_run:
@@ -75,7 +97,7 @@ class KnowledgeBase:
         import uuid
 
         stage = uuid.uuid4().hex
-        made = self.parsed(files, stage)
+        made = self.parsed(files, stage, sides)
         blocks, pieces = made.pop("blocks"), made.pop("pieces")
         stats = self._staged(stage, "stats", quality.document_stats(made["documents"], made["parent_chunks"], pieces, made["assets"], blocks, self.s.parent_chunk_max_tokens, self.s.child_chunk_size))
         if skip_quality_failures:

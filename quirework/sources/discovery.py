@@ -47,6 +47,15 @@ def candidates(found: DataFrame, include: list[str] | None = None, exclude: list
     )
 
 
+def sidecars(pdfs: DataFrame, found: DataFrame) -> DataFrame:
+    """path, layout_path, tei_path of PDF files: the layout JSON and the TEI that stand beside each under its name, null if they aren't found."""
+    stem = F.regexp_replace("path", r"(?i)\.pdf$", "")
+    rows = pdfs.select("path", F.concat(stem, F.lit(".layout.json")).alias("__l"), F.concat(stem, F.lit(".tei.xml")).alias("__t"))
+    for mine, name in (("__l", "layout_path"), ("__t", "tei_path")):
+        rows = rows.join(found.select(F.col("path").alias(mine), F.col("path").alias(name)).distinct(), mine, "left")
+    return rows.select("path", "layout_path", "tei_path")
+
+
 def ingest_status(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """incoming (path, content_hash) with status: unchanged, duplicate (a new path of known content), changed or new."""
     old = known.select(F.col("path").alias("__p"), F.col("content_hash").alias("__h"))

@@ -12,7 +12,7 @@ import struct
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
 from ..functions.predicates import ASSETS, source_format
@@ -80,6 +80,44 @@ def documents(files: DataFrame) -> DataFrame:
     )
 
 
+def with_sidecars(spark: SparkSession, files: DataFrame, sides: DataFrame) -> DataFrame:
+    """The PDF files among files with layout and tei, the texts of their sidecars (path, layout_path, tei_path)."""
+    rows = files.where("file_type = 'pdf'").join(sides, "path")
+    for name in ("layout", "tei"):
+        paths = [r[0] for r in sides.select(f"{name}_path").where(F.col(f"{name}_path").isNotNull()).toLocalIterator()]
+        if paths:
+            read = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias(f"{name}_path"), F.decode("content", "UTF-8").alias(name))
+            rows = rows.join(read, f"{name}_path", "left")
+        else:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    return rows.select("path", "content_hash", "layout", "tei")
+
+
+def pdf_documents(pdfs: DataFrame) -> DataFrame:
+    """Documents of PDF files with sidecars: also authors, year, parser, layout and the parsed tei. A broken TEI counts as none."""
+    rows = pdfs.withColumn("doc_id", X.stable_id("doc", F.col("path"), F.col("content_hash")))
+    rows = rows.drop("tei").join(tei(rows), "doc_id")
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    title = F.nullif(F.col("tei.title"), F.lit(""))
+    parser = F.concat_ws("+", F.when(F.col("layout").isNotNull(), "layout"), F.when(F.col("tei").isNotNull(), "tei"))
+    return rows.select(
+        "doc_id", "path", F.lit("pdf").alias("file_type"), F.lit("paper").alias("source_type"), "content_hash", F.coalesce(title, stem).alias("title"), F.lit(None).cast("string").alias("text"),
+        F.when(F.col("tei.doi") != "", F.create_map(F.lit("doi"), F.col("tei.doi"))).alias("metadata"), title.isNotNull().alias("titled"), F.col("tei.authors").alias("authors"), F.col("tei.year").alias("year"), parser.alias("parser"), "layout", "tei",
+    )
+
+
+def pdf_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of PDF documents: the layout's, aligned to the TEI's sections if there is one, else the TEI's own."""
+    laid = layout_blocks(docs.where("layout is not null"))
+    both = docs.where("layout is not null and tei is not null")
+    heads = both.select("doc_id", F.posexplode("tei.sections").alias("ordinal", "s")).select("doc_id", "ordinal", "s.heading", "s.section_path")
+    paired = laid.join(both.select("doc_id"), "doc_id", "left_semi")
+    matched = B.aligned(paired, heads, both.select("doc_id", F.col("tei.abstract").alias("abstract")))
+    rest = laid.join(both.select("doc_id"), "doc_id", "left_anti")
+    own = tei_blocks(docs.where("layout is null and tei is not null"))
+    return matched.unionByName(rest).unionByName(own, allowMissingColumns=True).drop("ref")
+
+
 def document_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of documents: Markdown and DOCX by their marks, plain texts by blank lines."""
     marked = B.markdown_blocks(docs.where("file_type <> 'txt'"))
@@ -177,6 +215,18 @@ def tei_references(parsed: DataFrame) -> DataFrame:
     return rows.select(X.stable_id("ref", F.col("doc_id"), F.col("r.label"), F.col("r.raw_text")).alias("reference_id"), "doc_id", "r.label", "r.raw_text", "r.title", "r.authors", "r.year", "r.doi")
 
 
+def tei_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of parsed TEI documents (doc_id, tei): the abstract, then each section's heading and paragraphs under its path."""
+    unit = "array<struct<block_type:string,text:string,level:int>>"
+    abstract = docs.where("tei.abstract <> ''").select("doc_id", F.lit(-1).alias("k"), F.lit("Abstract").alias("section_path"), F.expr(f"cast(array(struct('paragraph', tei.abstract, 0)) as {unit})").alias("units"))
+    parts = docs.select("doc_id", F.posexplode("tei.sections").alias("k", "s"))
+    units = F.concat(F.expr(f"cast(array(struct('section_header', s.heading, s.level)) as {unit})"), F.expr(f"cast(transform(s.paragraphs, p -> struct('paragraph', p.text, 0)) as {unit})"))
+    rows = abstract.unionByName(parts.select("doc_id", "k", "s.section_path", units.alias("units"))).select("doc_id", "k", "section_path", F.posexplode("units").alias("j", "u"))
+    at = Window.partitionBy("doc_id").orderBy("k", "j")
+    rows = rows.withColumn("block_ordinal", F.row_number().over(at) - 1).withColumn("block_id", F.concat(F.lit("t"), F.col("block_ordinal").cast("string")))
+    return B.completed(rows.select("doc_id", "block_ordinal", "block_id", "u.*", "section_path").withColumn("source_type", F.lit("paper")))
+
+
 # --- layout trees ---------------------------------------------------------------------------------
 
 

@@ -21,12 +21,12 @@ def file_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest_stream(kb, folder: str, checkpoint: str, once: bool = True):
-    """Starts a query that ingests the files of a folder into a knowledge base."""
+    """Starts a query that ingests the files of a folder into a knowledge base; PDF files need their sidecars, which a whole ingest finds."""
     from ..sources.store import KEPT, KEYS, upsert
 
     def batch(files: DataFrame, number: int) -> None:
         known = kb.store.table("documents").select("content_hash")
-        fresh = files.where("file_type is not null").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti").persist()
+        fresh = files.where("file_type <> 'pdf'").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti").persist()
         try:
             if fresh.take(1):
                 import uuid

@@ -146,3 +146,34 @@ def test_settings_models_cli():
     assert abs(sum(x * x for x in HashedEmbedder().embed(["a b c"])[0]) - 1) < 1e-9
     args = parser().parse_args(["ingest", "--dataset", "x", "--dry-run", "--no-recursive"])
     assert args.dry_run and args.no_recursive and args.dataset == ["x"]
+
+
+def test_pdf_with_sidecars(spark, tmp_path):
+    docs = tmp_path / "papers"
+    docs.mkdir()
+    for name in ("both", "tree", "tei", "broken", "alone"):
+        (docs / f"{name}.pdf").write_bytes(b"%PDF-1.4 " + name.encode())
+    item = lambda n, label, text: {"self_ref": f"#/texts/{n}", "label": label, "text": text, "prov": [{"page_no": n + 1}]}
+    texts = [item(0, "section_header", "1. Methods"), item(1, "text", "We average windows of the phase signal to measure strain."), item(2, "section_header", "Results"), item(3, "text", "The error of the measured strain stays below one percent.")]
+    layout = json.dumps({"body": {"children": [{"$ref": t["self_ref"]} for t in texts]}, "texts": texts})
+    tei = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>Strain by Phase</title></titleStmt></fileDesc></teiHeader><text><body>
+    <div><head>Methods</head><p>Windows of the phase are averaged.</p><div><head>Results</head><p>Errors are below one percent of the strain.</p></div></div></body>
+    <back><listBibl><biblStruct xml:id="b0"><title>An Older Paper</title><date when="2001"/></biblStruct></listBibl></back></text></TEI>"""
+    for name in ("both", "tree", "broken"):
+        (docs / f"{name}.layout.json").write_text(layout)
+    for name in ("both", "tei"):
+        (docs / f"{name}.tei.xml").write_text(tei)
+    (docs / "broken.tei.xml").write_text("<TEI")
+    kb = KnowledgeBase(spark, f"file://{tmp_path}/store", settings({}, use_hyde=False, parent_chunk_min_tokens=1))
+    done = kb.ingest([str(docs)])
+    assert done["statuses"]["failed:no_layout_or_tei"] == 1 and done["statuses"]["new"] == 5
+    found = {r.source_path.rsplit("/", 1)[1]: r for r in kb.store.table("documents").collect()}
+    assert {n: r.parser for n, r in found.items()} == {"both.pdf": "layout+tei", "tree.pdf": "layout", "tei.pdf": "tei", "broken.pdf": "layout"}
+    assert found["both.pdf"].title == found["tei.pdf"].title == "Strain by Phase" and found["tree.pdf"].file_type == "pdf"
+    paths = {}
+    for r in kb.store.table("parent_chunks").collect():
+        paths.setdefault(r.source_path.rsplit("/", 1)[1], set()).add(r.section_path)
+    assert paths["both.pdf"] == paths["tei.pdf"] == {"Methods", "Methods > Results"}
+    assert paths["tree.pdf"] == paths["broken.pdf"] == {"1. Methods", "1. Methods > Results"}
+    assert sorted((r.label, r.title, r.year) for r in kb.store.table("references").collect()) == [("b0", "An Older Paper", "2001")] * 2
+    assert kb.ingest([str(docs)])["statuses"] == {**done["statuses"], "new": 1, "unchanged": 4}
