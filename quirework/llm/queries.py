@@ -70,6 +70,14 @@ def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import digests
+
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
