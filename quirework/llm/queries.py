@@ -70,6 +70,12 @@ def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_audit import audit
+
+    return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,11 +89,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat_tools, decontaminate, license_digest, warc
+    from . import chat_tools, decontaminate, license_digest, source_audit, warc
 
     return {
         "op3_decontaminate": decontaminate.ORACLE,
         "op8_warc": warc.ORACLE,
         "op9_license_digest": license_digest.oracle(),
         "op10_chat_tools": chat_tools.ORACLE,
+        "op11_source_audit": source_audit.ORACLE,
     }
