@@ -76,6 +76,12 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import trie
+
+    return trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,7 +95,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat_tools, decontaminate, license_digest, source_audit, warc
+    from . import chat_tools, decontaminate, license_digest, prefix_trie, source_audit, warc
 
     return {
         "op3_decontaminate": decontaminate.ORACLE,
@@ -97,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_license_digest": license_digest.oracle(),
         "op10_chat_tools": chat_tools.ORACLE,
         "op11_source_audit": source_audit.ORACLE,
+        "op12_prefix_trie": prefix_trie.ORACLE,
     }
