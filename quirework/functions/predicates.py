@@ -172,10 +172,13 @@ def supervised_route(text: Column, requested: Column, pending: Column, has_metho
     )
 
 
+FORMATS = ("pdf", "docx", "txt", "md")
+
+
 def source_format(path: Column | str) -> Column:
     """The supported format of a path's suffix (pdf, docx, txt, md); null for any other."""
     suffix = F.lower(F.regexp_extract(_text(path), r"\.([^./\\]+)$", 1))
-    return F.when(suffix.isin("pdf", "docx", "txt", "md"), suffix)
+    return F.when(suffix.isin(*FORMATS), suffix)
 
 
 def matches_glob(path: Column | str, glob: str) -> Column:

@@ -31,6 +31,7 @@ class Settings:
     repeated_headers: bool = True
     repeated_header_min_pages: int = 2
     mojibake_extra_chars: str = ""
+    segments_before_compaction: int = 8
     ocr: str = "auto"
     ocr_sample_pages: int = 5
     ocr_min_text_chars: int = 300

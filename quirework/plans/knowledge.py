@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
@@ -14,7 +16,7 @@ from .models import Chat, Embedder, HashedEmbedder, embedded
 
 
 class KnowledgeBase:
-    """Snapshots of documents, chunks, vectors and the lexical index in one folder."""
+    """A log of documents, chunks, vectors and the lexical index in one folder."""
 
     def __init__(self, spark: SparkSession, folder: str, s: Settings | None = None, make_embedder=HashedEmbedder):
         self.spark, self.s, self.make_embedder = spark, s or Settings(), make_embedder
@@ -33,13 +35,20 @@ class KnowledgeBase:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/staging/{stage}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def parsed(self, files: DataFrame, stage: str, sides: DataFrame | None = None) -> dict[str, DataFrame]:
-        """Tables of files (path, file_type, content_hash, content), staged; sides names the sidecars of PDF files."""
+    def parsed(self, files: DataFrame, stage: str, papers: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Tables of files (path, file_type, content_hash, content), staged; papers are PDF files with their sidecars' texts.
+
+        Files that can't be read are rows of the table `failures`, and in no other.
+        """
         s, now = self.s, F.current_timestamp()
-        docs = self._staged(stage, "texts", formats.documents(files))
+        texts = self._staged(stage, "texts", formats.read_texts(files))
+        failures = texts.select("path", "file_type", "content_hash", "error")
+        docs = formats.documents(texts)
         blocks, references, by_path = formats.document_blocks(docs), None, None
-        if sides is not None:
-            papers = self._staged(stage, "papers", formats.pdf_documents(formats.with_sidecars(self.spark, files, sides)))
+        if papers is not None:
+            papers = self._staged(stage, "papers", papers)
+            failures = failures.unionByName(papers.select(failures.columns))
+            papers = self._staged(stage, "paper-documents", formats.pdf_documents(papers))
             blocks = blocks.unionByName(formats.pdf_blocks(papers), allowMissingColumns=True)
             references, by_path = formats.tei_references(papers), papers.where("tei is not null").select("doc_id")
             docs = docs.unionByName(papers.drop("layout", "tei"), allowMissingColumns=True)
@@ -58,7 +67,8 @@ class KnowledgeBase:
         parents = self._staged(stage, "parents", parents)
         kids = self._staged(stage, "children", chunks.children(parents, s.child_chunk_size, s.child_chunk_overlap))
         vectors = kids.select("child_id", F.col("embedding_text").alias("document"), embedded(F.col("embedding_text"), self.make_embedder).alias("embedding"))
-        tables = {"documents": docs.withColumn("source_path", F.col("path")), "parent_chunks": parents, "child_chunks": kids, "assets": assets, "child_vectors": vectors}
+        failures = failures.where("error is not null").select("path", "file_type", "content_hash", "error.reason", "error.message", now.alias("failed_at"))
+        tables = {"documents": docs.withColumn("source_path", F.col("path")), "parent_chunks": parents, "child_chunks": kids, "assets": assets, "child_vectors": vectors, "failures": failures}
         if references is not None:
             tables["references"] = references
         return {n: self._shaped(n, t.withColumns({c: now for c in ("created_at", "updated_at") if c not in t.columns})) for n, t in tables.items()} | {"blocks": blocks, "pieces": kids}
@@ -70,49 +80,62 @@ class KnowledgeBase:
         return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
 
     def ingest(self, folders: list[str], include: list[str] | None = None, exclude: list[str] | None = None, recursive: bool = True, dry_run: bool = False, reset: bool = False, skip_quality_failures: bool = False) -> dict:
-        """Ingests new and changed files of folders as one snapshot: statuses, counters and warnings."""
+        """Ingests new and changed files of folders as one version of the store: statuses, counters and warnings.
+
+        A file that can't be read has the status `failed:<reason>` and a row in the table `failures` until it can; what
+        the store has of it stays. The others are ingested.
+        """
         found = discovery.candidates(discovery.files(self.spark, folders, recursive), include, exclude)
         statuses = {f"{r.status}:{r.reason}" if r.reason else r.status: r["count"] for r in found.groupBy("status", "reason").count().collect()}
-        # a reset takes effect with the new snapshot: until then, and if this fails, the old one stays
-        had = self.store.empty() if reset else self.store.tables()
-        known = had["documents"].select(F.col("source_path").alias("path"), "content_hash")
+        # a reset takes effect with the new version: until then, and if this fails, the old one stays
+        known = (self.store.table("documents").where("false") if reset else self.store.table("documents")).select(F.col("source_path").alias("path"), "content_hash")
         todo = discovery.ingest_status(found.where("status = 'pending'").select("path", "content_hash"), known)
-        statuses |= {r.status: r["count"] for r in todo.groupBy("status").count().collect()}
-        wanted = todo.where("status in ('new', 'changed')")
-        pdfs = wanted.where("lower(path) like '%.pdf'")
-        sides = None
-        if pdfs.take(1):
-            sides = discovery.sidecars(pdfs, found)
-            lost = sides.where("layout_path is null and tei_path is null").select("path")
-            if n := lost.count():
-                statuses["failed:no_layout_or_tei"] = n
-            wanted = wanted.join(lost, "path", "left_anti")
-            sides = sides.join(lost, "path", "left_anti")
-        paths = [r.path for r in wanted.select("path").toLocalIterator()]
-        if not paths:
-            if reset and not dry_run:
-                self.store.reset(self.write_index)
-            return {"statuses": statuses, "counters": {}, "warnings": []}
-        files = formats.scan(self.spark, paths)
-        import uuid
-
         stage = uuid.uuid4().hex
-        made = self.parsed(files, stage, sides)
-        blocks, pieces = made.pop("blocks"), made.pop("pieces")
-        stats = self._staged(stage, "stats", quality.document_stats(made["documents"], made["parent_chunks"], pieces, made["assets"], blocks, self.s.parent_chunk_max_tokens, self.s.child_chunk_size))
-        if skip_quality_failures:
-            bad = quality.blocked(stats).select("doc_id")
-            made = {n: t.join(bad, "doc_id", "left_anti") if "doc_id" in t.columns else t for n, t in made.items()}
-        counters = quality.merged(stats).first().asDict()
-        warnings = [r.warning for r in quality.mojibake_warnings(pieces).collect()]
-        if not dry_run:
-            old = had["documents"].join(made["documents"].select("source_path"), "source_path").select("doc_id")
-            from ..sources.store import KEPT, KEYS, upsert, without
-
-            kept = without(had, old)
-            self.store.publish({n: upsert(kept[n], made[n], KEYS[n], KEPT[n]) if n in made else kept[n] for n in kept}, self.write_index)
-        self._unstage(stage)
-        return {"statuses": statuses, "counters": counters, "warnings": warnings}
+        try:
+            todo = self._staged(stage, "todo", todo)
+            wanted = todo.where("status in ('new', 'changed')")
+            if not wanted.take(1):
+                if reset and not dry_run:
+                    self.store.reset()
+                return {"statuses": statuses | {r.status: r["count"] for r in todo.groupBy("status").count().collect()}, "counters": {}, "warnings": []}
+            is_pdf = F.lower("path").endswith(".pdf")
+            papers = self._papers(wanted.where(is_pdf), found, folders) if wanted.where(is_pdf).take(1) else None
+            made = self.parsed(formats.typed(formats.contents(self.spark, folders, wanted.where(~is_pdf))), stage, papers)
+            blocks, pieces = made.pop("blocks"), made.pop("pieces")
+            ends = todo.join(made["failures"].select("path", "reason"), "path", "left")
+            ends = ends.groupBy(F.coalesce(F.concat(F.lit("failed:"), "reason"), "status").alias("status")).count()
+            statuses |= {r.status: r["count"] for r in ends.collect()}
+            stats = self._staged(stage, "stats", quality.document_stats(made["documents"], made["parent_chunks"], pieces, made["assets"], blocks, self.s.parent_chunk_max_tokens, self.s.child_chunk_size))
+            if skip_quality_failures:
+                bad = quality.blocked(stats).select("doc_id")
+                made = {n: t.join(bad, "doc_id", "left_anti") if "doc_id" in t.columns else t for n, t in made.items()}
+            counters = quality.merged(stats).first().asDict()
+            warnings = [r.warning for r in quality.mojibake_warnings(pieces).collect()]
+            if not dry_run:
+                self.publish(made, reset)
+            return {"statuses": statuses, "counters": counters, "warnings": warnings}
+        finally:
+            self._unstage(stage)
+
+    def _papers(self, pdfs: DataFrame, found: DataFrame, folders: list[str]) -> DataFrame:
+        """PDF files (path, content_hash) with their sidecars' texts."""
+        sides = discovery.sidecars(pdfs, found)
+        paths = sides.select(F.explode(F.array("layout_path", "tei_path")).alias("path")).where("path is not null").distinct()
+        return formats.with_sidecars(pdfs.withColumn("file_type", F.lit("pdf")), sides, formats.contents(self.spark, folders, paths))
+
+    def publish(self, made: dict[str, DataFrame], reset: bool = False) -> int:
+        """Adds tables as a segment; documents of the same paths and failures of paths that are read now go."""
+        fresh = made["documents"].select("source_path")
+        old = self.store.table("documents").join(fresh, "source_path", "left_semi").select("doc_id")
+        version = self.store.add(made, self.write_index, None if reset else old, {"failures": fresh.withColumnRenamed("source_path", "path")}, anew=reset)
+        if len(self.store.segments(version)) > self.s.segments_before_compaction:
+            version = self.store.compact(index=self.write_index) or version
+            self.store.vacuum()
+        return version
+
+    def failures(self) -> DataFrame:
+        """path, file_type, content_hash, reason, message, failed_at of files whose last ingest failed."""
+        return self.store.table("failures")
 
     def _tokens(self):
         return X.search_tokens("embedding_text", self.s.tokenizer, self._terms(), self.s.cjk_bigrams)
@@ -123,15 +146,20 @@ class KnowledgeBase:
         lines = (r.value.strip() for r in self.spark.read.text(self.s.domain_terms_path).toLocalIterator())
         return [line for line in lines if line and not line.startswith("#")]
 
-    def write_index(self, snapshot: str) -> None:
-        """The BM25 index of a snapshot's folder, before anybody reads it."""
-        from ..sources.store import SCHEMAS
+    def write_index(self, segment: str, entry: dict) -> None:
+        """The BM25 index of a segment's own child chunks, before anybody reads it."""
+        if entry["rows"].get("child_chunks"):
+            kids = self.spark.read.schema(self.store.schemas["child_chunks"]).parquet(f"{segment}/rows/child_chunks")
+            bm25.write_segment(kids, "child_id", self._tokens(), f"{segment}/bm25")
 
-        kids = self.spark.read.schema(SCHEMAS["child_chunks"]).parquet(f"{snapshot}/child_chunks")
-        bm25.write(bm25.build(kids, "child_id", self._tokens()), f"{snapshot}/bm25")
+    def lexical_index(self) -> bm25.Index:
+        """The index of all segments, merged as it is read."""
+        segments = self.store.segments()
+        folders = [f"{self.folder}/segments/{s['name']}/bm25" if s["rows"].get("child_chunks") else None for s in segments]
+        return bm25.merged(self.spark, folders, self.store.gone("child_chunks", segments))
 
     def delete(self, doc_ids: list[str]) -> None:
-        self.store.delete(self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string"), self.write_index)
+        self.store.delete(self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string"))
 
     def status(self) -> dict:
         from ..sources.store import counts
@@ -146,7 +174,7 @@ class KnowledgeBase:
     def hits(self, queries: DataFrame) -> DataFrame:
         """Fused (and reranked) child hits of a batch of queries (query_id, question)."""
         s, half = self.s, self.s.retrieval_top_k // 2
-        index = bm25.read(self.spark, f"{self.folder}/{self.store.current()}/bm25")
+        index = self.lexical_index()
         words = X.search_tokens("question", s.tokenizer, self._terms(), s.cjk_bigrams)
         kids = self.store.table("child_chunks").select(F.col("child_id").alias("doc_key"), "child_id", "parent_id", "text")
         lexical = bm25.top(bm25.scores(index, queries, "query_id", words), half).withColumn("method", F.lit("bm25"))

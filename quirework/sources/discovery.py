@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.predicates import matches_glob, source_format
+from ..functions.predicates import FORMATS, matches_glob, source_format
 
 
 def files(spark: SparkSession, folders: list[str], recursive: bool = True) -> DataFrame:
-    """path, content_hash, size of the files in folders."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folders)
-    return rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size"))
+    """path, content_hash, size of the files in folders; only files of known formats are read, others have an empty hash."""
+    path = F.regexp_replace("path", "^file:/+", "/").alias("path")
+
+    def rows(**options):
+        return spark.read.format("binaryFile").options(recursiveFileLookup=str(recursive).lower(), ignoreMissingFiles="true", **options).load(folders)
+
+    either_case = lambda end: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in end)
+    hashed = rows(pathGlobFilter="*.{" + ",".join(map(either_case, FORMATS)) + "}").select(path, F.sha2("content", 256).alias("content_hash"))
+    named = rows().select(path, F.col("length").alias("size"))
+    found = named.join(hashed, "path", "left")
+    return found.select("path", F.when(source_format("path").isNull(), "").otherwise(F.col("content_hash")).alias("content_hash"), "size")
 
 
 def any_glob(path: Column, globs: list[str]) -> Column:

@@ -24,9 +24,36 @@ TEI_SCHEMA = "struct<title:string,authors:array<string>,year:string,doi:string,a
 LAYOUT_SCHEMA = "struct<fallback:boolean,blocks:array<struct<block_ordinal:int,block_id:string,block_type:string,text:string,role:string,ref:string,caption:string,page_start:int,page_end:int>>>"
 
 
+def prepare_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it."""
+    import os
+    from pathlib import Path
+
+    top, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if top not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([top, *(p for p in paths if p)])
+
+
+def contents(spark: SparkSession, folders: list[str], wanted: DataFrame, most: int = 100_000) -> DataFrame:
+    """path and content of the wanted paths: read by name if they are few, else from their folders, by a semi-join."""
+    path = F.regexp_replace("path", "^file:/+", "/").alias("path")
+    reader = spark.read.format("binaryFile")
+    names = [r.path for r in wanted.select("path").limit(most + 1).collect()]
+    if not names:
+        return spark.createDataFrame([], "path string, content binary")
+    if len(names) <= most:
+        return reader.load(names).select(path, "content")
+    return reader.option("recursiveFileLookup", "true").load(folders).select(path, "content").join(wanted.select("path"), "path", "left_semi")
+
+
 def scan(spark: SparkSession, paths: list[str], strict: bool = False) -> DataFrame:
     """path, file_type, content_hash, content of files; strict raises an error for unknown formats."""
-    rows = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    return typed(spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content"), strict)
+
+
+def typed(rows: DataFrame, strict: bool = False) -> DataFrame:
+    prepare_workers(rows.sparkSession)
     kind = source_format("path")
     if strict:
         kind = F.coalesce(kind, F.raise_error(F.concat(F.lit("Unsupported file type: "), F.col("path"))).cast("string"))
@@ -63,16 +90,39 @@ def docx_text(content: bytes) -> str:
     return "\n".join(out).strip()
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """doc_id, path, file_type, source_type, content_hash, title, text, metadata of Markdown, text and DOCX files."""
-    @F.pandas_udf("string")
-    def of_docx(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda c: docx_text(bytes(c)) if c is not None and len(c) else "")
+def failure(reason: str, message) -> F.Column:
+    return F.struct(F.lit(reason).alias("reason"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+
+
+def read_texts(files: DataFrame) -> DataFrame:
+    """path, file_type, content_hash, raw and error (reason, message) of Markdown, text and DOCX files: either raw or error is null.
+
+    A file that can't be read is a row like any other; no file ends the others' task.
+    """
+    prepare_workers(files.sparkSession)
 
+    @F.pandas_udf("struct<text:string,error:string>")
+    def of_docx(contents: pd.Series) -> pd.DataFrame:
+        def one(content):
+            try:
+                return (docx_text(bytes(content)) if content is not None and len(content) else "", None)
+            except Exception as error:  # whatever a broken archive or tree gives
+                return None, f"{type(error).__name__}: {error}"
+
+        return pd.DataFrame([one(c) for c in contents], columns=["text", "error"])
+
+    kind = F.col("file_type")
+    rows = files.where(kind.isin("md", "txt", "docx")).withColumn("__docx", F.when(kind == "docx", of_docx(F.when(kind == "docx", F.col("content")))))
+    plain = F.try_validate_utf8(F.col("content").cast("string"))
+    error = F.when(F.col("__docx.error").isNotNull(), failure("bad_docx", F.col("__docx.error"))).when((kind != "docx") & plain.isNull(), failure("not_utf8", "the text isn't UTF-8"))
+    return rows.select("path", "file_type", "content_hash", F.when(kind == "docx", F.col("__docx.text")).otherwise(plain).alias("raw"), error.alias("error"))
+
+
+def documents(files: DataFrame) -> DataFrame:
+    """doc_id, path, file_type, source_type, content_hash, title, text, metadata of the readable Markdown, text and DOCX files (or of rows of read_texts)."""
+    rows = files if "raw" in files.columns else read_texts(files)
     kind = F.col("file_type")
-    raw = F.when(kind == "docx", of_docx(F.when(kind == "docx", F.col("content")))).otherwise(F.decode("content", "UTF-8"))
-    rows = files.where(kind.isin("md", "txt", "docx")).withColumn("raw", raw)
-    rows = rows.withColumn("front", F.when(kind == "md", X.front_matter("raw")))
+    rows = rows.where("error is null").withColumn("front", F.when(kind == "md", X.front_matter("raw")))
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
     return rows.select(
         X.stable_id("doc", F.col("path"), F.col("content_hash")).alias("doc_id"), "path", "file_type", F.when(kind == "md", "note").otherwise("text").alias("source_type"), "content_hash",
@@ -80,22 +130,43 @@ def documents(files: DataFrame) -> DataFrame:
     )
 
 
-def with_sidecars(spark: SparkSession, files: DataFrame, sides: DataFrame) -> DataFrame:
-    """The PDF files among files with layout and tei, the texts of their sidecars (path, layout_path, tei_path)."""
-    rows = files.where("file_type = 'pdf'").join(sides, "path")
+def with_sidecars(files: DataFrame, sides: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """The PDF files among files with layout and tei, the texts of their sidecars (path, layout_path, tei_path), and error.
+
+    sidecars: path and content of files that hold the sidecars. A sidecar that can't be read counts as none; a file
+    that is left without any has an error of both.
+    """
+    prepare_workers(files.sparkSession)
+    rows = files.where("file_type = 'pdf'").select("path", "file_type", "content_hash").join(sides, "path")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     for name in ("layout", "tei"):
-        paths = [r[0] for r in sides.select(f"{name}_path").where(F.col(f"{name}_path").isNotNull()).toLocalIterator()]
-        if paths:
-            read = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias(f"{name}_path"), F.decode("content", "UTF-8").alias(name))
-            rows = rows.join(read, f"{name}_path", "left")
-        else:
-            rows = rows.withColumn(name, F.lit(None).cast("string"))
-    return rows.select("path", "content_hash", "layout", "tei")
+        read = sidecars.select(F.col("path").alias(f"{name}_path"), text.alias(name), F.col("content").isNotNull().alias(f"{name}_there"))
+        rows = rows.join(read, f"{name}_path", "left")
+
+    @F.pandas_udf("struct<layout:string,tei:string>")
+    def faults(layouts: pd.Series, teis: pd.Series) -> pd.DataFrame:
+        def of(parse, value):
+            try:
+                if value is not None:
+                    parse(value)
+            except Exception as error:
+                return f"{type(error).__name__}: {error}"
+
+        return pd.DataFrame({"layout": [of(parse_layout, x) for x in layouts], "tei": [of(parse_tei, x) for x in teis]}, dtype=object)
+
+    rows = rows.withColumn("fault", faults("layout", "tei"))
+    utf8 = lambda name: F.when(F.col(f"{name}_there") & F.col(name).isNull(), "not UTF-8")
+    said = [F.concat(F.lit(f"{name}: "), F.coalesce(utf8(name), F.col("fault")[name])) for name in ("layout", "tei")]
+    rows = rows.withColumns({name: F.when(F.col("fault")[name].isNull(), F.col(name)) for name in ("layout", "tei")} | {"message": F.concat_ws("; ", *said)})
+    lost = F.col("layout").isNull() & F.col("tei").isNull()
+    error = F.when(lost & (F.col("message") == ""), failure("no_layout_or_tei", "no file of layout or TEI beside it")).when(lost, failure("bad_layout_or_tei", F.col("message")))
+    return rows.select("path", "file_type", "content_hash", "layout", "tei", error.alias("error"))
 
 
 def pdf_documents(pdfs: DataFrame) -> DataFrame:
     """Documents of PDF files with sidecars: also authors, year, parser, layout and the parsed tei. A broken TEI counts as none."""
-    rows = pdfs.withColumn("doc_id", X.stable_id("doc", F.col("path"), F.col("content_hash")))
+    rows = pdfs.where("error is null") if "error" in pdfs.columns else pdfs
+    rows = rows.withColumn("doc_id", X.stable_id("doc", F.col("path"), F.col("content_hash")))
     rows = rows.drop("tei").join(tei(rows), "doc_id")
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
     title = F.nullif(F.col("tei.title"), F.lit(""))

@@ -1,11 +1,13 @@
 """Continuous ingest: an extension that the batch operators make possible.
 
-New files of a folder stream in as micro-batches; each is published as a snapshot. Batches that run again
-after a failure replace the same keys, so nothing is doubled.
+New files of a folder stream in as micro-batches; each writes a segment of the store with its own rows. Batches that
+run again after a failure replace the same keys, so nothing is doubled; files that can't be read go to `failures`.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.formats import source_format
@@ -22,20 +24,18 @@ def file_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def ingest_stream(kb, folder: str, checkpoint: str, once: bool = True):
     """Starts a query that ingests the files of a folder into a knowledge base; PDF files need their sidecars, which a whole ingest finds."""
-    from ..sources.store import KEPT, KEYS, upsert
-
     def batch(files: DataFrame, number: int) -> None:
         known = kb.store.table("documents").select("content_hash")
         fresh = files.where("file_type <> 'pdf'").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti").persist()
         try:
             if fresh.take(1):
-                import uuid
-
                 stage = f"batch-{number}-{uuid.uuid4().hex}"
-                made = kb.parsed(fresh.select("path", "file_type", "content_hash", "content"), stage)
-                old = kb.store.tables()
-                kb.store.publish({n: upsert(old[n], made[n], KEYS[n], KEPT[n]) if n in made else old[n] for n in old}, kb.write_index)
-                kb._unstage(stage)
+                try:
+                    made = kb.parsed(fresh.select("path", "file_type", "content_hash", "content"), stage)
+                    del made["blocks"], made["pieces"]
+                    kb.publish(made)
+                finally:
+                    kb._unstage(stage)
         finally:
             fresh.unpersist()
 
