@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import bm25, dense, ranking
+from ..sources.store import working_folder
 from .catalog import query, table
 
 TOKENS = "regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*')"
@@ -52,6 +53,23 @@ def rnk_02_bm25_top_k(spark, sf):
     return lexical_hits(spark, sf).select("query_id", "doc_key", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_key, round(score, 6) AS score, rank FROM lexical")
+def rnk_02_segments(spark, sf):
+    """The same hits from an index in three segments: short texts as they came first, whole ones that replaced them, and a document that came and went."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    short = F.length("text") < 400
+    parts = [docs.withColumn("text", F.when(short, F.col("text")).otherwise(F.substring("text", 1, 300))), docs.where(~short), docs.limit(0)]
+    stray = docs.agg((F.max("doc_id") + 1).alias("doc_id"), F.lit("a stray text of strain and phase").alias("text"))
+    parts[1] = parts[1].unionByName(stray)
+    folders = [working_folder(spark, "bm25-segment") for _ in parts]
+    for part, folder in zip(parts, folders):
+        bm25.write_segment(part, "doc_id", _tokens(), folder)
+    gone = docs.where(~short).select(F.col("doc_id").alias("__gone"), F.lit(1).alias("__until")).unionByName(stray.select(F.col("doc_id").alias("__gone"), F.lit(2).alias("__until")))
+    index = bm25.merged(spark, folders, gone, "bigint")
+    found = bm25.scores(index, table(spark, sf, "benchmark"), "item_id", _tokens())
+    return bm25.top(found, 25).select("query_id", "doc_key", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {DENSE_SQL} SELECT query_id, doc_key, round(score, 6) AS score, rank FROM dense")
 def rnk_01_dense_top_k(spark, sf):
     return dense_hits(spark, sf).select("query_id", "doc_key", F.round("score", 6).alias("score"), "rank")

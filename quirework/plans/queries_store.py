@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import blocks as B, quality as Q, sets as S
-from ..sources import discovery, store
+from ..sources import discovery, formats, store
 from .catalog import query, table
 
 H = "sha256(text)"
@@ -172,3 +172,49 @@ def agg_06_asset_counts(spark, sf):
 @query("SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS kinds FROM orders GROUP BY o_custkey")
 def agg_10_distinct_sets(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("kinds"))
+
+
+_LOG = {"schemas": {"orders": "o_orderkey long, o_orderstatus string, o_totalprice double", "lines": "line string, doc_id long, l_quantity double"}, "keys": {"orders": "o_orderkey", "lines": "line"}, "kept": {"orders": ("o_totalprice",)}}
+
+
+def _order_log(spark, sf):
+    """All orders and lines; then finished orders again with another status, in two changes; then a compaction; then one customer segment's documents go."""
+    log = store.Store(spark, store.working_folder(spark, "orders-log"), **_LOG)
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_custkey")
+    lines = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").cast("double").alias("l_quantity"))
+    rows = o.drop("o_custkey")
+    log.add({"orders": rows, "lines": lines})
+    for status in ("F", "P"):
+        log.add({"orders": rows.where(F.col("o_orderstatus") == status).withColumns({"o_orderstatus": F.lit(f"{status}2"), "o_totalprice": F.lit(0.0)})})
+    log.compact(least=2)
+    gone = o.join(table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'"), F.expr("o_custkey = c_custkey"), "left_semi").select(F.col("o_orderkey").alias("doc_id"))
+    log.add({}, without=gone, drop={"orders": gone.withColumnRenamed("doc_id", "o_orderkey")})
+    return log
+
+
+@query("WITH o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'P') THEN o_orderstatus || '2' ELSE o_orderstatus END AS o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, n_lines FROM o LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n_lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def src_18_log(spark, sf):
+    """What counts after upserts, a compaction and deletes, merged from segments."""
+    log = _order_log(spark, sf)
+    lines = log.table("lines").groupBy(F.col("doc_id").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return log.table("orders").join(lines, "o_orderkey", "left")
+
+
+@query("SELECT 1 AS version, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT v, CASE WHEN o_orderstatus = 'F' OR v > 2 AND o_orderstatus = 'P' THEN o_orderstatus || '2' ELSE o_orderstatus END AS s, count(*) FROM orders, (SELECT unnest([2, 3, 4]) AS v) GROUP BY v, s UNION ALL SELECT 5, CASE WHEN o_orderstatus IN ('F', 'P') THEN o_orderstatus || '2' ELSE o_orderstatus END AS s, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY s")
+def src_18_log_versions(spark, sf):
+    """Each version of the log as it was."""
+    log, out = _order_log(spark, sf), None
+    for version in sorted(log.versions()):
+        part = log.table("orders", version).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).select(F.lit(version).alias("version"), "o_orderstatus", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("WITH p AS (SELECT page_id, html, regexp_extract(url, '^https?://([^/]+)', 1) AS host, page_id % 5 AS k FROM pages) SELECT host, CASE k WHEN 0 THEN 'docx' WHEN 1 THEN 'md' ELSE 'txt' END AS file_type, CASE WHEN k = 0 THEN 'bad_docx' WHEN k = 2 THEN 'not_utf8' ELSE 'read' END AS status, count(*) AS n, sum(CASE WHEN k IN (0, 2) THEN 0 ELSE length(html) END)::BIGINT AS chars FROM p GROUP BY ALL")
+def flw_15_file_failures(spark, sf):
+    """Pages as files, some no archives and some in UTF-16: what is read, and what fails for which reason, by host."""
+    p, k = table(spark, sf, "pages"), F.col("page_id") % 5
+    kind = F.when(k == 0, "docx").when(k == 1, "md").otherwise("txt")
+    files = p.select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("path"), kind.alias("file_type"), F.lit("").alias("content_hash"), F.when(k == 2, F.encode("html", "UTF-16")).otherwise(F.encode("html", "UTF-8")).alias("content"))
+    rows = formats.read_texts(files)
+    return rows.groupBy(F.col("path").alias("host"), "file_type", F.coalesce("error.reason", F.lit("read")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("raw"), F.lit(0)).cast("long")).alias("chars"))

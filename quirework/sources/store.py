@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -109,6 +110,27 @@ def counts(tables: dict[str, DataFrame | None]) -> DataFrame:
     return out
 
 
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new folder that the driver and all executors share: in ``spark.checkpoint.dir``, which only local mode may leave unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_folder()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@lru_cache(1)
+def _local_folder() -> str:
+    import atexit
+    import shutil
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="quirework-")
+    atexit.register(shutil.rmtree, folder, True)
+    return f"file://{folder}"
+
+
 class Conflict(RuntimeError):
     """Another change has become the version that this one was to be; run it again."""
 
