@@ -32,6 +32,8 @@ class Settings:
     repeated_header_min_pages: int = 2
     mojibake_extra_chars: str = ""
     segments_before_compaction: int = 8
+    vectors_before_index: int = 20_000
+    exact_neighbours: bool = False
     ocr: str = "auto"
     ocr_sample_pages: int = 5
     ocr_min_text_chars: int = 300

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import blocks as B, bm25, chunks, dense, quality, ranking
+from ..operators import blocks as B, bm25, chunks, dense, quality, ranking, vector_index
 from ..sources import discovery, formats
 from ..sources.store import Store
 from . import prompts
@@ -15,6 +15,10 @@ from .config import Settings
 from .models import Chat, Embedder, HashedEmbedder, embedded
 
 
+def numbered(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.xxhash64("child_id").alias("vec_id"), "child_id", "embedding", "metadata")
+
+
 class KnowledgeBase:
     """A log of documents, chunks, vectors and the lexical index in one folder."""
 
@@ -147,7 +151,11 @@ class KnowledgeBase:
         return [line for line in lines if line and not line.startswith("#")]
 
     def write_index(self, segment: str, entry: dict) -> None:
-        """The BM25 index of a segment's own child chunks, before anybody reads it."""
+        """The indexes of a segment's own child chunks and vectors, before anybody reads it; few vectors are scanned without one."""
+        if entry["rows"].get("child_vectors", 0) >= self.s.vectors_before_index:
+            vectors = numbered(self.spark.read.schema(self.store.schemas["child_vectors"]).parquet(f"{segment}/rows/child_vectors"))
+            vector_index.write(vectors, vector_index.train(vectors), f"{segment}/vectors")
+            entry["vectors"] = True
         if entry["rows"].get("child_chunks"):
             kids = self.spark.read.schema(self.store.schemas["child_chunks"]).parquet(f"{segment}/rows/child_chunks")
             bm25.write_segment(kids, "child_id", self._tokens(), f"{segment}/bm25")
@@ -158,6 +166,20 @@ class KnowledgeBase:
         folders = [f"{self.folder}/segments/{s['name']}/bm25" if s["rows"].get("child_chunks") else None for s in segments]
         return bm25.merged(self.spark, folders, self.store.gone("child_chunks", segments))
 
+    def near(self, asked: DataFrame, k: int) -> DataFrame:
+        """query_id, doc_key, rank, score of the nearest child vectors: from the indexes of large segments and a scan of the small ones."""
+        segments = self.store.segments()
+        indexed = [n for n, s in enumerate(segments) if s.get("vectors")]
+        rows = numbered(self.store.live("child_vectors", segments).where(~F.col("__seq").isin(indexed)).drop("__seq"))
+        found, gone = dense.nearest(rows, asked, k).join(rows.select("vec_id", "child_id"), "vec_id").select("query_id", "child_id", "distance"), self.store.gone("child_vectors", segments)
+        for n in indexed:
+            index = vector_index.read(self.spark, f"{self.folder}/segments/{segments[n]['name']}/vectors")
+            dead = None if gone is None else gone.where(F.col("__until") > n).select(F.xxhash64("__gone").alias("vec_id"))
+            part = vector_index.search(index, asked, k, exact=self.s.exact_neighbours, gone=dead).join(index.vectors.select("vec_id", "child_id"), "vec_id")
+            found = found.unionByName(part.select("query_id", "child_id", "distance"))
+        ranked = ranking.ranked(found, "distance", F.xxhash64("child_id")).where(F.col("rank") < k)
+        return ranked.select("query_id", F.col("child_id").alias("doc_key"), "rank", (1 / (1 + F.col("distance"))).alias("score"))
+
     def delete(self, doc_ids: list[str]) -> None:
         self.store.delete(self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string"))
 
@@ -178,10 +200,8 @@ class KnowledgeBase:
         words = X.search_tokens("question", s.tokenizer, self._terms(), s.cjk_bigrams)
         kids = self.store.table("child_chunks").select(F.col("child_id").alias("doc_key"), "child_id", "parent_id", "text")
         lexical = bm25.top(bm25.scores(index, queries, "query_id", words), half).withColumn("method", F.lit("bm25"))
-        numbered = self.store.table("child_vectors").select(F.xxhash64("child_id").alias("vec_id"), "child_id", "embedding")
         asked = queries.select("query_id", embedded(F.col("question"), self.make_embedder).alias("embedding"))
-        near = dense.nearest(numbered, asked, half).join(numbered.select("vec_id", F.col("child_id").alias("doc_key")), "vec_id")
-        near = near.select("query_id", "doc_key", "rank", "score", F.lit("dense").alias("method"))
+        near = self.near(asked, half).withColumn("method", F.lit("dense"))
         keyed = lambda h: h.join(kids.select("doc_key", "parent_id"), "doc_key").withColumn("child_id", F.col("doc_key")).drop("doc_key").withColumnRenamed("parent_id", "doc_key")
         fused = ranking.hybrid(keyed(near).drop("child_id"), keyed(lexical).drop("child_id")).where(F.col("rank") < s.retrieval_top_k)
         first = keyed(near).select("query_id", "doc_key", "child_id", "rank", F.lit(0).alias("list")).unionByName(keyed(lexical).select("query_id", "doc_key", "child_id", "rank", F.lit(1).alias("list")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, dense, ranking
+from ..operators import bm25, dense, ranking, vector_index
 from ..sources.store import working_folder
 from .catalog import query, table
 
@@ -75,6 +75,35 @@ def rnk_01_dense_top_k(spark, sf):
     return dense_hits(spark, sf).select("query_id", "doc_key", F.round("score", 6).alias("score"), "rank")
 
 
+def _vector_index(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    folder = working_folder(spark, "vector-index")
+    vector_index.write(vectors, vector_index.train(vectors), folder)
+    return vector_index.read(spark, folder), vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {DENSE_SQL} SELECT query_id, doc_key, round(score, 6) AS score, rank FROM dense")
+def rnk_01_vector_index(spark, sf):
+    """The same neighbours from inverted lists and codes, with bounds that let none be missed."""
+    found = vector_index.search(*_vector_index(spark, sf), 25, exact=True)
+    return found.select("query_id", F.col("vec_id").alias("doc_key"), F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def rnk_01_vector_index_recall(spark, sf):
+    """For each query how many of the 25 true neighbours an approximate search finds, with as many lists and candidates as training chose."""
+    index, asked = _vector_index(spark, sf)
+    true = dense.nearest(table(spark, sf, "embeddings"), asked, 25).select("query_id", "vec_id")
+    found = vector_index.search(index, asked, 25).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return true.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
+@query("WITH near AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))]) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.label IN (1, 3)) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) - 1 AS rank FROM near QUALIFY rank < 8")
+def prd_16_filtered_index(spark, sf):
+    index, asked = _vector_index(spark, sf)
+    return vector_index.search(index, asked, 8, exact=True, where=F.col("label").isin(1, 3)).select("query_id", "vec_id", "rank")
+
+
 @query("WITH near AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))]) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.label = 3) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) - 1 AS rank FROM near QUALIFY rank < 8")
 def prd_16_filtered_dense(spark, sf):
     vectors = table(spark, sf, "embeddings")
