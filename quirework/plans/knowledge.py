@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import blocks as B, bm25, chunks, dense, quality, ranking, vector_index
-from ..sources import discovery, formats
+from ..sources import discovery, formats, pdf
 from ..sources.store import Store
 from . import prompts
 from .config import Settings
@@ -53,9 +53,9 @@ class KnowledgeBase:
             papers = self._staged(stage, "papers", papers)
             failures = failures.unionByName(papers.select(failures.columns))
             papers = self._staged(stage, "paper-documents", formats.pdf_documents(papers))
-            blocks = blocks.unionByName(formats.pdf_blocks(papers), allowMissingColumns=True)
+            blocks = blocks.unionByName(formats.pdf_blocks(papers), allowMissingColumns=True).unionByName(pdf.blocks(papers.where("pages is not null")), allowMissingColumns=True)
             references, by_path = formats.tei_references(papers), papers.where("tei is not null").select("doc_id")
-            docs = docs.unionByName(papers.drop("layout", "tei"), allowMissingColumns=True)
+            docs = docs.unionByName(papers.drop("layout", "tei", "pages"), allowMissingColumns=True)
         docs = formats.titles(docs, blocks)
         if s.enable_cleaning:
             blocks = B.annotate(blocks, s.repeated_headers, s.repeated_header_min_pages, s.exclude_references)
@@ -103,7 +103,7 @@ class KnowledgeBase:
                     self.store.reset()
                 return {"statuses": statuses | {r.status: r["count"] for r in todo.groupBy("status").count().collect()}, "counters": {}, "warnings": []}
             is_pdf = F.lower("path").endswith(".pdf")
-            papers = self._papers(wanted.where(is_pdf), found, folders) if wanted.where(is_pdf).take(1) else None
+            papers = self._papers(wanted.where(is_pdf), found, folders, stage) if wanted.where(is_pdf).take(1) else None
             made = self.parsed(formats.typed(formats.contents(self.spark, folders, wanted.where(~is_pdf))), stage, papers)
             blocks, pieces = made.pop("blocks"), made.pop("pieces")
             ends = todo.join(made["failures"].select("path", "reason"), "path", "left")
@@ -121,11 +121,22 @@ class KnowledgeBase:
         finally:
             self._unstage(stage)
 
-    def _papers(self, pdfs: DataFrame, found: DataFrame, folders: list[str]) -> DataFrame:
-        """PDF files (path, content_hash) with their sidecars' texts."""
+    def _papers(self, pdfs: DataFrame, found: DataFrame, folders: list[str], stage: str) -> DataFrame:
+        """PDF files (path, content_hash) with their sidecars' texts, or their own pages'."""
         sides = discovery.sidecars(pdfs, found)
         paths = sides.select(F.explode(F.array("layout_path", "tei_path")).alias("path")).where("path is not null").distinct()
-        return formats.with_sidecars(pdfs.withColumn("file_type", F.lit("pdf")), sides, formats.contents(self.spark, folders, paths))
+        rows = formats.with_sidecars(pdfs.withColumn("file_type", F.lit("pdf")), sides, formats.contents(self.spark, folders, paths))
+        rows = self._staged(stage, "sidecars", rows)
+        # files without a sidecar that can be read give their text layer, if they have one
+        found = pdf.pages(formats.contents(self.spark, folders, rows.where("error is not null")))
+        found = self._staged(stage, "pages", found)
+        listed = found.where("trim(text) <> ''").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
+        seen = pdf.probe(found, self.s.ocr, self.s.ocr_min_text_chars).select("path", F.col("error").alias("fault"), "n_pages", F.col("ocr.reason").alias("ocr"))
+        rows = rows.join(listed, "path", "left").join(seen, "path", "left")
+        own = F.when(F.col("pages").isNotNull(), None).when(F.col("n_pages").isNotNull(), formats.failure("needs_ocr", "no page has text"))
+        told = formats.failure_of(F.col("error.reason"), F.concat_ws("; ", "error.message", F.concat(F.lit("pdf: "), "fault")))
+        error = F.when(F.col("error").isNull() | F.col("pages").isNotNull(), None).otherwise(F.coalesce(own, told))
+        return rows.select("path", "file_type", "content_hash", "layout", "tei", "pages", "ocr", error.alias("error"))
 
     def publish(self, made: dict[str, DataFrame], reset: bool = False) -> int:
         """Adds tables as a segment; documents of the same paths and failures of paths that are read now go."""

@@ -12,7 +12,7 @@ import struct
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
 from ..functions.predicates import ASSETS, source_format
@@ -90,8 +90,12 @@ def docx_text(content: bytes) -> str:
     return "\n".join(out).strip()
 
 
-def failure(reason: str, message) -> F.Column:
-    return F.struct(F.lit(reason).alias("reason"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+def failure(reason: str, message: Column | str) -> Column:
+    return failure_of(F.lit(reason), F.lit(message) if isinstance(message, str) else message)
+
+
+def failure_of(reason: Column, message: Column) -> Column:
+    return F.struct(reason.alias("reason"), message.alias("message"))
 
 
 def read_texts(files: DataFrame) -> DataFrame:
@@ -170,10 +174,14 @@ def pdf_documents(pdfs: DataFrame) -> DataFrame:
     rows = rows.drop("tei").join(tei(rows), "doc_id")
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
     title = F.nullif(F.col("tei.title"), F.lit(""))
-    parser = F.concat_ws("+", F.when(F.col("layout").isNotNull(), "layout"), F.when(F.col("tei").isNotNull(), "tei"))
+    for name, kind in (("pages", "array<struct<page:int,text:string>>"), ("ocr", "string")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    parser = F.concat_ws("+", F.when(F.col("layout").isNotNull(), "layout"), F.when(F.col("tei").isNotNull(), "tei"), F.when(F.col("pages").isNotNull(), "text_layer"))
+    told = F.map_filter(F.create_map(F.lit("doi"), F.nullif(F.col("tei.doi"), F.lit("")), F.lit("ocr"), F.when(F.col("pages").isNotNull(), F.col("ocr"))), lambda k, v: v.isNotNull())
     return rows.select(
         "doc_id", "path", F.lit("pdf").alias("file_type"), F.lit("paper").alias("source_type"), "content_hash", F.coalesce(title, stem).alias("title"), F.lit(None).cast("string").alias("text"),
-        F.when(F.col("tei.doi") != "", F.create_map(F.lit("doi"), F.col("tei.doi"))).alias("metadata"), title.isNotNull().alias("titled"), F.col("tei.authors").alias("authors"), F.col("tei.year").alias("year"), parser.alias("parser"), "layout", "tei",
+        F.when(F.size(told) > 0, told).alias("metadata"), title.isNotNull().alias("titled"), F.col("tei.authors").alias("authors"), F.col("tei.year").alias("year"), parser.alias("parser"), "layout", "tei", "pages",
     )
 
 
