@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import blocks as B, quality as Q, sets as S
-from ..sources import discovery, formats, store
+from ..sources import discovery, formats, pdf, store
 from .catalog import query, table
 
 H = "sha256(text)"
@@ -218,3 +218,17 @@ def flw_15_file_failures(spark, sf):
     files = p.select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("path"), kind.alias("file_type"), F.lit("").alias("content_hash"), F.when(k == 2, F.encode("html", "UTF-16")).otherwise(F.encode("html", "UTF-8")).alias("content"))
     rows = formats.read_texts(files)
     return rows.groupBy(F.col("path").alias("host"), "file_type", F.coalesce("error.reason", F.lit("read")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("raw"), F.lit(0)).cast("long")).alias("chars"))
+
+
+@query("WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n, length(regexp_replace(text, '\\s+', '', 'g')) AS c FROM conversations), s AS (SELECT * FROM p WHERE n <= 3 OR k IN (0, CAST(round_even((n - 1) / 2.0, 0) AS BIGINT), n - 1)) SELECT conv_id, any_value(n)::INT AS n_pages, count(*) AS sampled_pages, sum(c)::BIGINT AS extracted_chars, CASE WHEN sum(c) < 300 THEN 'little_text' ELSE 'text_layer' END AS reason FROM s GROUP BY conv_id")
+def src_12_pdf_probe(spark, sf):
+    """Conversations as PDF files, a page for each turn, read again: their text layers, sampled."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    number = lambda k, more: (10 + 2 * k + more).cast("string")
+    page = lambda t, k: F.concat(number(k, 0), F.lit(" 0 obj << /Type /Page /Parent 2 0 R /Contents "), number(k, 1), F.lit(" 0 R >> endobj\n"), number(k, 1), F.lit(" 0 obj << >> stream\nBT /F1 10 Tf <"), F.hex(F.encode(t["text"], "ISO-8859-1")), F.lit("> Tj ET\nendstream endobj\n"))
+    kids = F.array_join(F.transform("t", lambda t, k: F.concat(number(k, 0), F.lit(" 0 R"))), " ")
+    head = "%PDF-1.7\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n3 0 obj << /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >> endobj\n2 0 obj << /Type /Pages /Resources << /Font << /F1 3 0 R >> >> /Kids ["
+    body = F.concat(F.lit(head), kids, F.lit("] >> endobj\n"), F.array_join(F.transform("t", page), ""), F.lit("trailer << /Root 1 0 R >>\n"))
+    files = turns.select(F.col("conv_id").cast("string").alias("path"), F.encode(body, "ISO-8859-1").alias("content"))
+    seen = pdf.probe(pdf.pages(files, 3))
+    return seen.select(F.col("path").cast("long").alias("conv_id"), "n_pages", "sampled_pages", "extracted_chars", F.col("ocr.reason").alias("reason"))
