@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import bm25, dense, ranking, vector_index
-from ..sources.store import working_folder
+from ..sources.store import kept, working_folder
 from .catalog import query, table
 
 TOKENS = "regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*')"
@@ -75,6 +75,15 @@ def rnk_01_dense_top_k(spark, sf):
     return dense_hits(spark, sf).select("query_id", "doc_key", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_key, round(score, 6) AS score, rank FROM lexical")
+def rnk_02_block_max(spark, sf):
+    """The same hits from the cells of documents whose bounds reach the 25th score."""
+    folder = working_folder(spark, "bm25-blocks")
+    bm25.write_blocks(bm25.blocked(bm25.build(table(spark, sf, "documents"), "doc_id", _tokens())), folder)
+    found, _ = bm25.top_by_blocks(bm25.read_blocks(spark, folder), table(spark, sf, "benchmark"), "item_id", _tokens(), 25, kept)
+    return found.select("query_id", "doc_key", F.round("score", 6).alias("score"), "rank")
+
+
 def _vector_index(spark, sf):
     vectors = table(spark, sf, "embeddings")
     folder = working_folder(spark, "vector-index")

@@ -120,6 +120,13 @@ def working_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def kept(table: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again, for use in several places."""
+    path = working_folder(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 @lru_cache(1)
 def _local_folder() -> str:
     import atexit
