@@ -207,7 +207,7 @@ m AS (SELECT query_id, min(rank) AS first, sum(nth / (rank + 1)) AS ap, sum(CASE
 SELECT query_id, round(coalesce(hits, 0) / n, 9) AS recall_10, round(coalesce(hits, 0) / 10, 9) AS precision_10, round(coalesce(dcg, 0) / idcg, 9) AS ndcg_10, round(CASE WHEN first < 10 THEN 1 / (first + 1) ELSE 0 END, 9) AS mrr, round(coalesce(ap, 0) / n, 9) AS average_precision FROM w LEFT JOIN m USING (query_id)"""
 )
 def rnk_13_metrics(spark, sf):
-    hits = lexical_hits(spark, sf)
+    hits = kept(lexical_hits(spark, sf), "hits")
     q, d = F.col("query_id"), F.col("doc_key")
     grades = hits.select("query_id", "doc_key", F.when(d % 7 == q % 7, 2).when(d % 5 == 0, 1).otherwise(0).alias("grade"))
     missed = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(-1).cast("long").alias("doc_key"), F.lit(2).alias("grade"))

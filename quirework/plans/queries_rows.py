@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P, text as X, vocabulary as V
 from ..operators import blocks as B, sets as S
+from ..sources.store import point, search_documents
 from . import answer
 from .catalog import query, quoted, table
 
@@ -165,3 +166,63 @@ def agt_17_loop_edges(spark, sf):
     error, tries = F.when(F.col("l_quantity") > 45, "broken"), F.col("l_partkey") % 4
     after = answer.after_generation(error, F.when(F.col("l_partkey") % 3 > 0, True), F.col("l_suppkey") % 2 == 0, F.col("l_linenumber"), tries)
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", answer.after_documents(error, F.col("l_linenumber") % 3, tries).alias("after_documents"), after.alias("after_generation"))
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, role, trim(text, {_trim}) AS text FROM conversations),
+u AS (SELECT conv_id, 0 AS place, 'title' AS block_type, 'Conversation ' || conv_id AS text, 1 AS level FROM t WHERE k = 0
+UNION ALL SELECT conv_id, 3 * k + 1, 'section_header', role || ' ' || k, 2 FROM t UNION ALL SELECT conv_id, 3 * k + 2, 'paragraph', text, 0 FROM t WHERE text <> '' UNION ALL SELECT conv_id, 3 * k + 3, 'code', '```' || chr(10) || role || chr(10) || '```', 0 FROM t)
+SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY place) - 1)::INT AS block_ordinal, block_type, text, level FROM u"""
+)
+def flw_01_markdown_blocks(spark, sf):
+    """Conversations as Markdown: a title, and for each turn a heading, its text and a fenced block."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    each = F.transform("t", lambda t, k: F.concat(F.lit("\n\n## "), t["role"], F.lit(" "), k.cast("string"), F.lit("\n"), t["text"], F.lit("\n\n```\n"), t["role"], F.lit("\n```")))
+    docs = turns.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.array_join(each, "")).alias("text"))
+    return B.markdown_blocks(docs).select("doc_id", "block_ordinal", "block_type", "text", "level")
+
+
+_clean = f"trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_trim})"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_clean} AS c FROM documents),
+p AS (SELECT doc_id, n AS p_no, trim(p, {_trim}) AS p FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, regexp_split_to_array(c, '\\n\\s*\\n+') AS l FROM d))),
+s AS (SELECT doc_id, p_no, n AS s_no, trim(s, {_trim}) AS s FROM (SELECT doc_id, p_no, unnest(l) AS s, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, p_no, regexp_extract_all(p, '[^。！？；.!?;\\n]*[。！？；.!?;\\n]|[^。！？；.!?;\\n]+$') AS l FROM p WHERE p <> '' AND {_count("p")} > {MOST})) WHERE trim(s, {_trim}) <> ''),
+h AS (SELECT doc_id, p_no, s_no, unnest(l) AS text, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, p_no, s_no, {_slices("s", MOST)} AS l FROM s WHERE {_count("s")} > {MOST})),
+u AS (SELECT doc_id, p_no, 0 AS s_no, 0 AS k, {_count("p")} AS n FROM p WHERE p <> '' AND {_count("p")} <= {MOST} UNION ALL SELECT doc_id, p_no, s_no, 0, {_count("s")} FROM s WHERE {_count("s")} <= {MOST} UNION ALL SELECT doc_id, p_no, s_no, k, {_count("text")} FROM h),
+g AS (SELECT doc_id, list([n] ORDER BY p_no, s_no, k) AS l FROM u GROUP BY doc_id)
+SELECT doc_id, CASE WHEN c = '' THEN [] ELSE list_reduce(l, lambda a, x: CASE WHEN a[-1] + x[1] > {MOST} THEN list_concat(a, x) ELSE list_concat(a[:-2], [a[-1] + x[1]]) END) END AS sizes FROM d LEFT JOIN g USING (doc_id)"""
+)
+def txt_19_piece_sizes(spark, sf):
+    """How many tokens each piece of a text has, packed greedily from its units."""
+    pieces = X.split_text("text", MOST)
+    return table(spark, sf, "documents").select("doc_id", F.transform(pieces, lambda p: X.estimated_tokens(p["text"]).cast("long")).alias("sizes"))
+
+
+@query(
+    f"""WITH s AS (SELECT conv_id, turn, list_reverse(list_filter(list_transform(regexp_extract_all(text, '[^。！？；.!?;\\n]*[。！？；.!?;\\n]|[^。！？；.!?;\\n]+$'), lambda x: trim(x, {_trim})), lambda x: x <> '')) AS l, text FROM conversations),
+n AS (SELECT *, list_transform(l, lambda x: {_count('x')}) AS c FROM s),
+k AS (SELECT *, len(list_filter(range(1, len(c) + 1), lambda i: list_sum(c[1:i]) <= {MOST})) AS whole FROM n)
+SELECT conv_id, turn, CASE WHEN whole > 0 THEN list_reduce(list_reverse(l[1:whole]), lambda a, b: CASE WHEN contains('。！？；.!?;', right(a, 1)) OR contains('，。！？；：、,.!?;:%)]}}', left(b, 1)) THEN a || b ELSE a || ' ' || b END)
+ELSE {_joined(f"regexp_extract_all(text, {_token})[-{MOST}:]")} END AS overlap FROM k"""
+)
+def txt_17_trailing_overlap(spark, sf):
+    """The end of each turn that the next piece would begin with."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.trailing_overlap("text", MOST).alias("overlap"))
+
+
+@query("SELECT conv_id || '-' || turn AS child_id, CAST(conv_id AS VARCHAR) AS parent_id, CAST(conv_id % 10 AS VARCHAR) AS doc_id, CASE WHEN conv_id % 7 > 0 THEN CAST(conv_id AS INT) END AS parent_index, CAST(turn AS INT) AS child_index, text AS embedding_text FROM conversations")
+def src_23_search_documents(spark, sf):
+    c = table(spark, sf, "conversations")
+    conv = F.col("conv_id").cast("string")
+    kids = c.select(F.concat_ws("-", "conv_id", "turn").alias("child_id"), conv.alias("parent_id"), (F.col("conv_id") % 10).cast("string").alias("doc_id"), F.col("turn").cast("int").alias("child_index"), F.col("text").alias("embedding_text"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    parents = c.where("conv_id % 7 > 0").select(conv.alias("parent_id"), F.col("conv_id").cast("int").alias("parent_index")).distinct()
+    return search_documents(kids, parents).drop("metadata")
+
+
+@query("SELECT c_custkey, c_name, o_orderkey FROM customer JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey ORDER BY o_orderkey DESC LIMIT 1) ON c_custkey = o_custkey")
+def src_20_point(spark, sf):
+    """The one customer of the last order, looked up by key."""
+    last = table(spark, sf, "orders").agg(F.max_by("o_custkey", "o_orderkey").alias("k"), F.max("o_orderkey").alias("o_orderkey")).first()
+    return point(table(spark, sf, "customer"), "c_custkey", last.k).select("c_custkey", "c_name", F.lit(last.o_orderkey).alias("o_orderkey"))
