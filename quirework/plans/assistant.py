@@ -124,7 +124,8 @@ class StrainTools:
         if self.models[method] is None:
             raise NotImplementedError(f"no {method} model is loaded")
         _, matrix = formats.single_matrix(content)
-        h, w = (n - n % 32 for n in matrix.shape)
+        # only the network with dropout needs sides that its levels divide
+        h, w = (n - n % 32 if method == "bnn" else n for n in matrix.shape)
         top, left = (matrix.shape[0] - h) // 2, (matrix.shape[1] - w) // 2
         n = s["MC_test"] if method == "bnn" else 1
         samples = np.asarray(self.models[method].infer(matrix[top : top + h, left : left + w], n), float)
