@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P, text as X, vocabulary as V
 from ..operators import blocks as B, sets as S
 from ..sources.store import point, search_documents
+from ..streaming import conversations
 from . import answer
 from .catalog import query, quoted, table
 
@@ -226,3 +227,14 @@ def src_20_point(spark, sf):
     """The one customer of the last order, looked up by key."""
     last = table(spark, sf, "orders").agg(F.max_by("o_custkey", "o_orderkey").alias("k"), F.max("o_orderkey").alias("o_orderkey")).first()
     return point(table(spark, sf, "customer"), "c_custkey", last.k).select("c_custkey", "c_name", F.lit(last.o_orderkey).alias("o_orderkey"))
+
+
+def _turn_numbers(summary: str, messages: list) -> str:
+    return ",".join(filter(None, [summary, *(f"{turn}:{len(text)}" for turn, _, text in messages)]))
+
+
+@query("WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), s AS (SELECT *, CASE WHEN n > 4 THEN n - 2 ELSE 0 END AS done FROM t) SELECT conv_id, any_value(n) AS messages, any_value(done) AS summary_message_count, coalesce(string_agg(turn || ':' || length(text), ',' ORDER BY pos) FILTER (pos < done), '') AS summary, coalesce(list(turn ORDER BY pos) FILTER (pos >= done), []) AS recent FROM s GROUP BY conv_id")
+def agt_12_conversation_state(spark, sf):
+    """Each conversation's summary and recent turns, message by message, as a stream of them keeps it."""
+    rows = conversations.replayed(table(spark, sf, "conversations"), _turn_numbers, threshold=4, keep=2)
+    return rows.withColumn("recent", F.transform("recent", lambda m: m["turn"]))
