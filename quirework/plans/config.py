@@ -11,6 +11,7 @@ class Settings:
     data_folder: str = "data"
     tokenizer: str = "char"
     domain_terms_path: str = ""
+    word_frequencies_path: str = ""
     cjk_bigrams: bool = True
     use_hyde: bool = True
     use_rerank: bool = True

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as X
+from ..functions import segment, text as X
 from ..operators import blocks as B, bm25, chunks, dense, quality, ranking, vector_index
 from ..sources import discovery, formats, pdf
 from ..sources.store import Store
@@ -153,7 +153,14 @@ class KnowledgeBase:
         return self.store.table("failures")
 
     def _tokens(self):
-        return X.search_tokens("embedding_text", self.s.tokenizer, self._terms(), self.s.cjk_bigrams)
+        return self._bag("embedding_text")
+
+    def _bag(self, text: str):
+        """The search terms of a column: Chinese words where the settings name a table of their frequencies (word, n)."""
+        if self.s.word_frequencies_path:
+            frequencies = self.spark.read.parquet(self.s.word_frequencies_path)
+            return segment.search_tokens_by_words(text, frequencies, self._terms(), self.s.cjk_bigrams)
+        return X.search_tokens(text, self.s.tokenizer, self._terms(), self.s.cjk_bigrams)
 
     def _terms(self) -> list[str]:
         if not self.s.domain_terms_path:
@@ -208,7 +215,7 @@ class KnowledgeBase:
         """Fused (and reranked) child hits of a batch of queries (query_id, question)."""
         s, half = self.s, self.s.retrieval_top_k // 2
         index = self.lexical_index()
-        words = X.search_tokens("question", s.tokenizer, self._terms(), s.cjk_bigrams)
+        words = self._bag("question")
         kids = self.store.table("child_chunks").select(F.col("child_id").alias("doc_key"), "child_id", "parent_id", "text")
         lexical = bm25.top(bm25.scores(index, queries, "query_id", words), half).withColumn("method", F.lit("bm25"))
         asked = queries.select("query_id", embedded(F.col("question"), self.make_embedder).alias("embedding"))
