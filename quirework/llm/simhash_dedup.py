@@ -606,8 +606,8 @@ def _similar_groups(texts: DataFrame, shingle: int, similarity: float, id_type:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), bits, fps], ["doc_id", "text_key", "bits", "fp"])
 
     found = written(texts.mapInArrow(prints, f"doc_id {id_type}, text_key long, bits binary, fp long"), "fingerprints")
-    # of texts with one set of shingles, one stands for all: its key finds its text again
-    reps = found.groupBy("fp").agg(F.min(F.struct("text_key", "bits")).alias("r")).select("fp", "r.text_key", "r.bits")
+    # of texts with one set of shingles, one stands for all: its key and document find its text again
+    reps = found.groupBy("fp").agg(F.min(F.struct("text_key", "doc_id", "bits")).alias("r")).select("fp", "r.text_key", "r.doc_id", "r.bits")
 
     def dealt(batches):
         """A row for each band of each fingerprint: its bucket and the fingerprint."""
@@ -647,10 +647,10 @@ def _similar_groups(texts: DataFrame, shingle: int, similarity: float, id_type:
     rows = reps.select("fp", "bits").mapInArrow(dealt, "key long, fp long, bits binary").repartition(n, "key").sortWithinPartitions("key", "fp")
     candidates = components(rows.mapInArrow(linked, "fp long, other long").distinct())
     candidates = written(candidates.union(candidates.select("root", "root").distinct()).toDF("fp", "root"), "candidates")
-    # texts of candidates only are shuffled; equal texts have equal keys
+    # the text of one document for each candidate is read again; rows that are repeated as a whole give it more than once, which changes no link
     few = lambda rows: F.broadcast(rows) if rows.count() <= LARGEST_BROADCAST else rows
-    keys = written(reps.select("fp", "text_key").join(candidates, "fp"), "keys")
-    members = texts.select("text_key", "text").join(few(keys), "text_key").groupBy("root", "fp").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    keys = written(reps.select("fp", "text_key", F.col("doc_id").alias("of")).join(candidates, "fp"), "keys")
+    members = texts.join(few(keys), (texts.text_key == keys.text_key) & F.col("doc_id").eqNullSafe(F.col("of"))).select("root", "fp", F.coalesce("text", F.lit("")).alias("text"))
     members = written(members, "members")
     size = F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")
     large = written(members.groupBy("root").agg(*size).where((F.col("n") > MOST_MEMBERS) | (F.col("bytes") > MOST_BYTES)).where("n > 2").select("root"), "large")
@@ -660,6 +660,8 @@ def _similar_groups(texts: DataFrame, shingle: int, similarity: float, id_type:
         import pyarrow as pa
 
         table = table.sort_by("fp")
+        fps = table.column("fp").to_numpy()
+        table = table.filter(pa.array(np.append(True, fps[1:] != fps[:-1])))
         root = components_of_sets([shingle_hashes(t, shingle) for t in texts_as_bytes(table.column("text").combine_chunks())], similarity)
         return pa.table({"node": table.column("fp"), "root": table.column("fp").take(pa.array(root))})
 
