@@ -64,6 +64,12 @@ class HashedEmbedder:
 
 def embedded(text: Column, make: Callable[[], Embedder]) -> Column:
     """Embeddings of a text column; ``make`` is called once for each worker task."""
+    from pyspark.sql import SparkSession
+
+    from ..sources.formats import prepare_workers
+
+    prepare_workers(SparkSession.active())
+
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
