@@ -1,6 +1,10 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and reread by the next.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined cases: null and empty texts, and texts without a letter, end at language identification; null doc_ids and
+languages are rows like any other; of repeated rows one stays; very long texts are read whole; other columns are carried
+on to the last stage; an empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
