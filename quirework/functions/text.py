@@ -5,7 +5,7 @@ Null texts count as empty unless said otherwise.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from . import vocabulary as V
@@ -37,12 +37,16 @@ def normalize_line(text: Column | str) -> Column:
 
 
 def nfkc(text: Column | str) -> Column:
-    """Unicode compatibility composition; ASCII texts don't leave the JVM's expression."""
-    @F.pandas_udf("string")
-    def compose(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFKC")
+    """Unicode compatibility composition; ASCII texts aren't sent to Python, and the others a few at a time."""
+    from unicodedata import normalize
 
-    return F.when(_text(text).rlike(r"[^\x00-\x7F]"), compose(_text(text))).otherwise(_text(text))
+    # rows come in batches of any size, but one text after the other is in Python's own form
+    @F.arrow_udf("string")
+    def compose(values: pa.Array) -> pa.Array:
+        return pa.array((normalize("NFKC", v.as_py()) if v.is_valid else None for v in values), pa.string(), size=len(values))
+
+    # a function in Python is evaluated for every row, so that a condition around it keeps nothing from it
+    return F.coalesce(compose(F.when(_text(text).rlike(r"[^\x00-\x7F]"), _text(text))), _text(text))
 
 
 def normalize_scientific(text: Column | str, compose: bool = True) -> Column:
