@@ -5,9 +5,9 @@ and measures on it how many lists and candidates a search needs for a wanted rec
 its code, into the table of its nearest centre's list, sorted by list, so that a search reads little more than the
 codes of the lists it probes; a list of very many vectors is spread over files and tasks.
 
-A search sends a batch of queries (of bounded size) to the tasks that scan codes. Each keeps the best candidates of
-each query by the sums of a table of distances for each part of the code; the best of all tasks are joined with their
-vectors and ranked by true distance. With ``exact``, a second scan follows. The k-th true distance so far is a bar; a
+A search sends a batch of queries (of bounded size) to the tasks that scan codes. Each finds the best candidates of
+each query by the sums of a table of distances for each part of the code, and ranks them by true distance as they come;
+k of each query leave the task, so nothing is joined or broadcast. With ``exact``, a second scan follows. The k-th true distance so far is a bar; a
 vector's distance is at least that of its code less the code's error, and a list's at least that of its centre less
 the list's reach, so all that can pass the bar is found and ranked, and the result is that of the whole scan.
 """
@@ -163,50 +163,58 @@ def read(spark: SparkSession, folder: str) -> Index:
     return Index(books, spark.read.parquet(f"{folder}/lists"), spark.read.parquet(f"{folder}/reaches"))
 
 
-def _scan(index: Index, rows: DataFrame, key: str, ids: np.ndarray, points: np.ndarray, chosen: np.ndarray, most: int | None, bars: np.ndarray | None) -> DataFrame:
-    """q, vec_key, list, approx: candidates of queries. chosen: queries x lists that are probed. Either the best ``most`` of a task, or all that the bars let pass."""
+def _scan(index: Index, rows: DataFrame, key: str, col: str, ids: np.ndarray, points: np.ndarray, chosen: np.ndarray, k: int, most: int | None, bars: np.ndarray | None) -> DataFrame:
+    """q, vec_key, distance: each task's k nearest vectors of each query, by true distance. chosen: queries x lists that
+    are probed. Looked at are those among the task's best ``most`` by their codes, or all that the bars let pass."""
     books = index.books
 
     def run(batches):
         import pyarrow as pa
 
-        best_d = [np.zeros(0)] * len(ids)
-        best_k = [np.zeros(0, np.int64)] * len(ids)
-        best_l = [np.zeros(0, np.int32)] * len(ids)
-
-        def table(q, k, at, d):
-            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(k), pa.array(at.astype(np.int32)), pa.array(d)], ["q", "vec_key", "list", "approx"])
-
+        near = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        # the best by codes so far: their distances only, as those that enter are ranked at once
+        best = None if most is None else [np.zeros(0, np.float32)] * len(ids)
         for batch in batches:
-            keys, lists, error = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
-            if not len(keys):
+            if not batch.num_rows:
                 continue
+            keys, lists, error = (batch.column(n).to_numpy(zero_copy_only=False) for n in (0, 1, 3))
             codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(keys), -1)
+            v = books.padded(batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1))
             for at in np.unique(lists).tolist():
                 some, mine = np.flatnonzero(chosen[:, at]), np.flatnonzero(lists == at)
                 for begin in range(0, len(some), 64):
                     asked = some[begin : begin + 64]
                     d = books.distances(points[asked], at, codes[mine])
                     if bars is not None:
-                        i, j = np.nonzero(np.sqrt(d) - error[mine][None] <= bars[asked][:, None])
-                        if len(i):
-                            yield table(ids[asked[i]], keys[mine[j]], lists[mine[j]], d[i, j])
-                        continue
+                        # what was found since lowers the bar
+                        bar = np.minimum(bars[asked], np.sqrt(near[0][asked, -1]) * (1 + 1e-9) + 1e-9)
+                        passed = np.sqrt(d) - error[mine][None] <= bar[:, None]
                     for row, q in enumerate(asked.tolist()):
-                        every_d, every_k, every_l = np.concatenate((best_d[q], d[row])), np.concatenate((best_k[q], keys[mine])), np.concatenate((best_l[q], lists[mine]))
-                        keep = slice(None)
-                        if len(every_d) > most:  # of equal distances the smaller keys, as in the true order
-                            keep = np.flatnonzero(every_d <= np.partition(every_d, most - 1)[most - 1])
-                            keep = keep[np.lexsort((every_k[keep], every_d[keep]))[:most]]
-                        best_d[q], best_k[q], best_l[q] = every_d[keep], every_k[keep], every_l[keep]
-        for q in range(len(ids)):
-            if len(best_d[q]):
-                yield table(np.full(len(best_d[q]), ids[q]), best_k[q], best_l[q], best_d[q])
+                        if bars is not None:
+                            look = np.flatnonzero(passed[row])
+                        else:
+                            both = np.concatenate((best[q], d[row].astype(np.float32)))
+                            if len(both) > most:
+                                both = np.partition(both, most - 1)[:most]
+                                look = np.flatnonzero(d[row].astype(np.float32) <= both.max())
+                            else:
+                                look = np.arange(len(mine))
+                            best[q] = both
+                        if not len(look):
+                            continue
+                        apart = ((points[q][None] - v[mine[look]]) ** 2).sum(1)
+                        closer = apart <= near[0][q, -1]
+                        if closer.any():
+                            every_d, every_k = np.concatenate((near[0][q], apart[closer])), np.concatenate((near[1][q], keys[mine[look[closer]]]))
+                            order = np.lexsort((every_k, every_d))[:k]
+                            near[0][q], near[1][q] = every_d[order], every_k[order]
+        q, place = np.nonzero(np.isfinite(near[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(near[1][q, place]), pa.array(near[0][q, place])], ["q", "vec_key", "distance"])
 
     probed = np.flatnonzero(chosen.any(0)).tolist()
     if len(probed) < len(books.centres):
         rows = rows.where(F.col("list").isin(probed))
-    return rows.select(F.col(key).cast("long"), "list", "code", "error").mapInArrow(run, "q long, vec_key long, list int, approx double")
+    return rows.select(F.col(key).cast("long"), "list", "code", "error", F.col(col).cast("array<double>")).mapInArrow(run, "q long, vec_key long, distance double")
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int | None = None, candidates: int | None = None, exact: bool = False, where: Column | None = None, gone: DataFrame | None = None, key: str = "vec_id", col: str = "embedding", query_key: str = "query_id", query_col: str = "embedding") -> DataFrame:
@@ -229,32 +237,26 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None,
         reach[r.list] = r.reach
     in_order = Window.partitionBy("q").orderBy("distance", "vec_key")
 
-    def ranked(found: DataFrame, points: DataFrame) -> DataFrame:
-        vectors = rows.select(F.col(key).cast("long").alias("vec_key"), "list", F.col(col).cast("array<double>").alias("v"))
-        both = found.select("q", "vec_key", "list").join(vectors, ["list", "vec_key"]).join(points, "q")
-        apart = F.aggregate(F.zip_with("point", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-        return both.select("q", "vec_key", apart.alias("distance")).withColumn("rank", F.row_number().over(in_order) - 1).where(F.col("rank") < k)
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
     out, held = None, []
 
     def answered(held: list) -> DataFrame:
         ids, points = np.array([r.q for r in held], np.int64), books.padded(np.array([r.point for r in held], float))
-        sent = spark.createDataFrame([(r.q, r.point) for r in held], "q long, point array<double>")
         from_centre = np.sqrt(squares(points, books.centres))
         chosen = np.argsort(np.argsort(from_centre, 1), 1) < (probes or books.probes)
-        found = _scan(index, rows, key, ids, points, chosen, candidates or books.candidates, None)
-        by_code = Window.partitionBy("q").orderBy("approx", "vec_key")
-        found = found.withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= max(k, candidates or books.candidates))
+        found = ranked(_scan(index, rows, key, col, ids, points, chosen, k, max(k, candidates or books.candidates), None))
         if not exact:
-            return ranked(found, sent)
+            return found
         # the k-th true distance so far, a number for each query; without k candidates nothing is ruled out
         bars = np.full(len(ids), np.inf)
         place = {q: n for n, q in enumerate(ids.tolist())}
-        for r in ranked(found, sent).where(F.col("rank") == k - 1).collect():
+        for r in found.where(F.col("rank") == k - 1).select("q", "distance").collect():
             bars[place[r.q]] = np.sqrt(r.distance)
         bars = bars * (1 + 1e-9) + 1e-9
         able = from_centre - reach[None] <= bars[:, None]
-        return ranked(_scan(index, rows, key, ids, points, able, None, bars), sent)
+        return ranked(_scan(index, rows, key, col, ids, points, able, k, None, bars))
 
     for row in asked.toLocalIterator() if reaches else ():
         held.append(row)

@@ -86,3 +86,19 @@ def test_knowledge_base_searches_indexed_and_small_segments(spark, tmp_path):
     assert {r.doc_key for r in kb.near(asked, 99).collect()} == {r.child_id for r in rows.collect()}
     found = kb.retrieve("gamma noise")
     assert any("Another text" in d["text"] for d in found["documents"])
+
+
+def test_search_joins_and_broadcasts_nothing(spark):
+    """Candidates are ranked where their vectors are."""
+    import numpy as np
+
+    from quirework.operators import vector_index as V
+
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    books = V.train(rows, lists=6, parts=4, k=5)
+    lists = V.encoded(rows, books)
+    index = V.Index(books, lists, lists.groupBy("list").agg({"reach": "max"}).withColumnRenamed("max(reach)", "reach"))
+    asked = rows.where("vec_id < 9").withColumnRenamed("vec_id", "query_id")
+    plan = V.search(index, asked, 5, exact=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and "WindowGroupLimit" in plan
