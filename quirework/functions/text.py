@@ -123,22 +123,26 @@ def normalize_search_token(token: Column | str) -> Column:
 
 def paragraphs(text: Column | str) -> Column:
     parts = F.filter(F.transform(F.split(_text(text), r"(?U)\n\s*\n+"), strip), lambda p: p != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(text)))
+    return let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(strip(text))))
 
 
 def sentences(text: Column | str) -> Column:
     """Units that end after each sentence mark or line break."""
     parts = F.regexp_extract_all(_text(text), F.lit("[^。！？；.!?;\n]*[。！？；.!?;\n]|[^。！？；.!?;\n]+$"), F.lit(0))
     units = F.filter(F.transform(parts, strip), lambda p: p != "")
-    return F.when(F.size(units) > 0, units).otherwise(F.array(strip(text)))
+    return let(units, lambda u: F.when(F.size(u) > 0, u).otherwise(F.array(strip(text))))
 
 
 def join_text(left: Column, right: Column) -> Column:
     """Both stripped; no space after a sentence mark, before a trailing mark or beside CJK."""
-    a, b = strip(left), strip(right)
-    last, first = F.substring(a, -1, 1), F.substring(b, 1, 1)
-    dense = last.isin(*V.SENTENCE_ENDS) | first.isin(*V.TRAILING_MARKS) | contains_cjk(last) | contains_cjk(first)
-    return F.when(a == "", b).when(b == "", a).when(dense, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
+
+    def joined(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        last, first = F.substring(a, -1, 1), F.substring(b, 1, 1)
+        dense = last.isin(*V.SENTENCE_ENDS) | first.isin(*V.TRAILING_MARKS) | contains_cjk(last) | contains_cjk(first)
+        return F.when(a == "", b).when(b == "", a).when(dense, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
+
+    return let(F.struct(strip(left).alias("a"), strip(right).alias("b")), joined)
 
 
 def join_tokens(parts: Column) -> Column:
@@ -164,13 +168,19 @@ def split_long(text: Column | str, most: int) -> Column:
 
 def boundary_units(text: Column | str, most: int) -> Column:
     """array<struct<text, reason>>: paragraphs that fit, else their sentences, else slices of tokens."""
-    unit = lambda t, reason: F.struct(t.alias("text"), F.lit(reason).alias("reason"))
+    return F.transform(counted_units(text, most), lambda u: F.struct(u["text"].alias("text"), u["reason"].alias("reason")))
+
+
+def counted_units(text: Column | str, most: int) -> Column:
+    """Boundary units with n, their numbers of tokens; each text is counted once."""
+    unit = lambda t, reason, n: F.struct(t.alias("text"), F.lit(reason).alias("reason"), n.alias("n"))
 
     def of_sentence(s: Column) -> Column:
-        return F.when(estimated_tokens(s) <= most, F.array(unit(s, "sentence_boundary"))).otherwise(F.transform(split_long(s, most), lambda t: unit(t, "hard_limit")))
+        cut = lambda: F.transform(split_long(s, most), lambda t: unit(t, "hard_limit", estimated_tokens(t)))
+        return let(estimated_tokens(s), lambda n: F.when(n <= most, F.array(unit(s, "sentence_boundary", n))).otherwise(cut()))
 
     def of_paragraph(p: Column) -> Column:
-        return F.when(estimated_tokens(p) <= most, F.array(unit(p, "paragraph_boundary"))).otherwise(F.flatten(F.transform(sentences(p), of_sentence)))
+        return let(estimated_tokens(p), lambda n: F.when(n <= most, F.array(unit(p, "paragraph_boundary", n))).otherwise(F.flatten(F.transform(sentences(p), of_sentence))))
 
     return F.flatten(F.transform(paragraphs(text), of_paragraph))
 
@@ -234,8 +244,7 @@ def split_text(text: Column | str, most: int, overlap: int = 0) -> Column:
     none = F.array().cast("array<struct<text:string,reason:string>>")
 
     def packed(c: Column) -> Column:
-        units = F.transform(boundary_units(c, most), lambda u: F.struct(u["text"].alias("text"), u["reason"].alias("reason"), estimated_tokens(u["text"]).alias("n")))
-        return F.aggregate(units, start, step, closed)
+        return F.aggregate(counted_units(c, most), start, step, closed)
 
     return let(clean, lambda c: F.when(c == "", none).when(estimated_tokens(c) <= most, F.array(F.struct(c.alias("text"), F.lit("within_limit").alias("reason")))).otherwise(packed(c)))
 
