@@ -141,10 +141,10 @@ class Words:
             spec = json.load(file)
         #: literal occurrences of these are one id each, as the library cuts them out before anything else
         added = spec.get("added_tokens") or []
-        self.special = {t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
         #: tokens that take part in normalisation, or look at their neighbours, are left to the library, text by text
         self.whole = any(t.get(k) for t in added for k in ("normalized", "single_word", "lstrip", "rstrip"))
-        self.special_cut = re.compile(b"|".join(re.escape(c) for c in sorted(self.special, key=len, reverse=True)) or rb"(?!)").sub
+        self.special_cut = re.compile("|".join(re.escape(c) for c in sorted(self.special, key=len, reverse=True)) or r"(?!)").sub
         suffix = spec["model"].get("end_of_word_suffix") or None
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = [p["pattern"]["Regex"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
@@ -186,19 +186,18 @@ class Words:
             out.extend(data[a:b] for a, b in zip([0, *stops], stops))
         return zip(pieces, out)
 
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of distinct words."""
-        if any(w in self.special for w in words):
-            rest = [w for w in words if w not in self.special]
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; an empty one, as Arrow cuts before and after white space, has none."""
+        if any(not w or w in self.special for w in words):
+            rest = [w for w in words if w and w not in self.special]
             found = iter(self._encode_words(rest) if rest else ())
-            return [self.special[w] if w in self.special else next(found) for w in words]
-        lines = b"\n".join(words).decode()
+            return [self.special.get(w, b"") if not w or w in self.special else next(found) for w in words]
+        lines = "\n".join(words)
         if self.plain_lines and self.plain_lines(lines):
             return self._plain_ids(lines)
-        texts = lines.split("\n")
-        plain = [bool(self.plain and self.plain(t)) for t in texts]
-        found = iter(self._plain_ids("\n".join(t for t, p in zip(texts, plain) if p)) if any(plain) else ())
-        others = [t for t, p in zip(texts, plain) if not p]
+        plain = [bool(self.plain and self.plain(w)) for w in words]
+        found = iter(self._plain_ids("\n".join(w for w, p in zip(words, plain) if p)) if any(plain) else ())
+        others = [w for w, p in zip(words, plain) if not p]
         rest = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
         return [next(found) if p else np.array(next(rest).ids, "<u4").tobytes() for p in plain]
 
@@ -223,26 +222,33 @@ class Words:
             found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids + [end_id] * (end_id is not None), "<u4") for t in texts.to_pylist()]
             return np.concatenate([np.zeros(0, "<u4"), *found]), np.array(list(map(len, found)), np.int64)
         for content in self.special:  # white space is dropped, so that special tokens may become words of their own
-            if pc.any(pc.match_substring(texts, content.decode())).as_py():
-                texts = pa.array([self.special_cut(rb" \g<0> ", t.encode()).decode() for t in texts.to_pylist()], pa.large_string())
+            if pc.any(pc.match_substring(texts, content)).as_py():
+                texts = pa.array([self.special_cut(r" \g<0> ", t) for t in texts.to_pylist()], pa.large_string())
                 break
         cut = pc.ascii_split_whitespace(texts)
         stops = cut.offsets.to_numpy()
         numbered = cut.flatten().dictionary_encode()
-        places, words = numbered.indices.to_numpy(), texts_as_bytes(numbered.dictionary)
-        self.known.keep(set(words) - {b""}, lambda todo: zip(todo := list(todo), self._encode_words(todo)))
-        get = self.known.new.get  # Arrow cuts empty words before and after white space
-        values = [get(w, b"") if w else b"" for w in words] + [b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
+        places, found = numbered.indices.to_numpy(), numbered.dictionary
+        # words have no white space, so that one text of them all is split anew, faster than word by word
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found.cast(pa.string())), "\n")[0].as_py().split("\n") if len(found) else []
+        values = self.known.values(words, self._encode_words) + [b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
         # the last word of each text is the end
         places = np.insert(places, stops[1:] - stops[0], len(words))
         size = np.fromiter(map(len, values), np.int64, len(values)) // 4
         start = np.cumsum(size) - size
-        count = size[places]
-        ends = np.cumsum(count)
         flat = np.frombuffer(b"".join(values), "<u4")
-        ids = flat[np.repeat(start[places] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(np.diff(stops) + 1)))]
-        return ids, np.diff(upto)
+        del values
+        firsts = np.concatenate(([0], np.cumsum(np.diff(stops) + 1)))[:-1]
+        lengths = np.add.reduceat(size[places], firsts) if len(firsts) else np.zeros(0, np.int64)
+        ids, at = np.empty(int(lengths.sum()), "<u4"), 0
+        for first in range(0, len(places), STEP >> 4):
+            part = places[first : first + (STEP >> 4)]
+            count = size[part]
+            ends = np.cumsum(count)
+            n = int(ends[-1])
+            ids[at : at + n] = flat[np.repeat(start[part] - ends + count, count) + np.arange(n)]
+            at += n
+        return ids, lengths
 
 
 class Table:
@@ -253,6 +259,22 @@ class Table:
         self.new: dict = {}
         self.old: dict = {}
 
+    def values(self, keys: list, make) -> list:
+        """The value of each of the distinct keys; make gives those of keys that are in neither generation."""
+        found = list(map(self.new.get, keys))
+        missing = [k for k, v in zip(keys, found) if v is None]
+        if not missing:
+            return found
+        held = list(map(self.old.get, missing))
+        todo = [k for k, v in zip(missing, held) if v is None]
+        made = iter(make(todo) if todo else ())
+        held = [next(made) if v is None else v for v in held]
+        if self.new and len(self.new) + len(missing) > self.most:
+            self.old, self.new = self.new, {k: v for k, v in zip(keys, found) if v is not None}
+        self.new.update(zip(missing, held))
+        held = iter(held)
+        return [next(held) if v is None else v for v in found]
+
     def keep(self, keys: set, make) -> None:
         """Afterwards ``new`` has all keys; make gives (key, value) pairs of those that are in neither generation."""
         missing = keys.difference(self.new)
@@ -270,7 +292,7 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-def _cut(column, most: int = 1 << 22):
+def _cut(column, most: int = 1 << 24):
     """A column of texts in parts of about ``most`` bytes."""
     import pyarrow as pa
     import pyarrow.compute as pc

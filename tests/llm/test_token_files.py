@@ -69,3 +69,30 @@ def test_files(spark):
     assert all(r.ids[-1] == 2 and len(r.ids) == r.n_tokens for r in got)
     assert sorted(map(tuple, K.round_trip(docs, PATH).collect()), key=lambda r: r[1]) == want
     assert K.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_words_are_made_once_until_two_generations_are_full():
+    made, table = [], K.Table(4)
+
+    def make(todo):
+        made.extend(todo)
+        return [w.upper() for w in todo]
+
+    for keys in (["a", "b", ""], ["b", "c"], ["d", "a"], ["c", "b", "e"], ["a", "e"]):
+        assert table.values(keys, make) == [k.upper() for k in keys]
+    assert sorted(made) == ["", "a", "b", "c", "d", "e"]
+    assert table.values([], make) == []
+
+
+def test_a_part_looks_each_distinct_word_up_once(monkeypatch):
+    import pyarrow as pa
+
+    words, asked = K.Words(PATH), []
+    look_up = words.known.values
+    monkeypatch.setattr(words.known, "values", lambda keys, make: asked.append(len(keys)) or look_up(keys, make))
+    texts = [f"Word{k % 7} and word{k % 5}, again " * 300 for k in range(1000)]  # 8 MB, of which 17 words differ at most
+    found = [words.encode_column(part, 2) for part in K._cut(pa.array(texts))]
+    assert len(asked) == 1 and asked[0] <= 17
+    assert found[0][1].sum() == len(found[0][0]) and (found[0][0][np.cumsum(found[0][1]) - 1] == 2).all()
+    whole = words.tokenizer.encode(texts[3], add_special_tokens=False).ids
+    assert found[0][0][found[0][1][:3].sum() :][: found[0][1][3]].tolist() == whole + [2]
