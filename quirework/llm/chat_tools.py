@@ -3,7 +3,8 @@
 Messages are rows (conv_id, turn, role, text). A message whose text is a JSON object with ``tool_calls`` (an array
 of objects with id, name and arguments, an object or its JSON) makes calls; a message of role ``tool`` whose
 text is a JSON object with ``tool_call_id`` is a result. Results are hash-joined to calls by (conv_id, id);
-arguments are validated against parameter schemas (rows of tool, param, type, required); and each event gets
+arguments are validated against parameter schemas (rows of tool, param, type, required, and conv_id if they hold in one
+conversation only; ``declared_tools`` reads those that system messages declare); and each event gets
 a place (order_turn, order_depth, turn, part) in which no result precedes its call, and no call the results
 that its arguments name as ``$call:<id>``. An event is one row with canonical JSON: sorted keys, no spaces, numbers
 as decimals without exponent, trailing zeros or point where these are exact (38 digits of an integer; 20 digits before and
@@ -29,6 +30,8 @@ from .shared import written
 
 CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
+PARAMETERS = "struct<properties:map<string,struct<type:string>>,required:array<string>>"
+DECLARED = f"struct<tools:array<struct<name:string,parameters:{PARAMETERS},function:struct<name:string,parameters:{PARAMETERS}>>>>"
 LARGEST_BROADCAST = 10_000
 TYPES = {
     "integer": r"BIGINT|DECIMAL\(\d+,0\)",
@@ -129,6 +132,20 @@ def one_form(text: Column) -> Column:
     return F.when(text.rlike("[.eE]"), made).otherwise(text)
 
 
+def declared_tools(messages: DataFrame) -> DataFrame:
+    """conv_id, tool, param, type, required of the tools that a conversation's system messages declare.
+
+    Such a message's text is a JSON object with ``tools``: an array of objects with name and parameters (a JSON schema:
+    properties and required), bare or under ``function``. A tool without parameters is one row without a parameter.
+    """
+    text = F.col("text").cast("string")
+    said = messages.where((F.col("role").cast("string") == "system") & F.ltrim(text).startswith("{") & text.contains('"tools"'))
+    tools = said.select("conv_id", F.explode(F.from_json(text, DECLARED)["tools"]).alias("t"))
+    tools = tools.select("conv_id", F.coalesce("t.function.name", "t.name").alias("tool"), F.coalesce("t.function.parameters", "t.parameters").alias("p"))
+    rows = tools.select("conv_id", "tool", "p.required", F.explode_outer(F.map_entries("p.properties")).alias("e"))
+    return rows.select("conv_id", "tool", F.col("e.key").alias("param"), F.col("e.value.type").alias("type"), F.coalesce(F.array_contains("required", F.col("e.key")), F.lit(False)).alias("required"))
+
+
 def events(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """conv_id, turn, part, kind, call_id, tool, status, order_turn, order_depth, json of each message, call and result."""
     spark = messages.sparkSession
@@ -156,13 +173,14 @@ def events(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     places = written(_places(calls.select("conv_id", "turn", "part", "id", "refs"), results.select("conv_id", "turn", "id")), "places")
     first = calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "part")).alias("first_call")).where("conv_id is not null and id is not null")
     answer = results.groupBy("conv_id", "id").agg(F.min("turn").alias("first_answer")).where("conv_id is not null and id is not null")
-    params = schemas.where("tool is not null").groupBy("tool", "param").agg(F.min("type").alias("type"), F.coalesce(F.bool_or("required"), F.lit(False)).alias("required"))
+    keys = ["conv_id", "tool"] if "conv_id" in schemas.columns else ["tool"]
+    params = schemas.where("tool is not null").groupBy(*keys, "param").agg(F.min("type").alias("type"), F.coalesce(F.bool_or("required"), F.lit(False)).alias("required"))
     entry = F.when(F.col("param").isNotNull(), F.struct(F.col("param"), F.struct("type", "required")))
-    tools = params.groupBy("tool").agg(F.map_from_entries(F.collect_list(entry)).alias("known"))
+    tools = params.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("known"))
     if schemas.limit(LARGEST_BROADCAST + 1).count() <= LARGEST_BROADCAST:
         tools = F.broadcast(tools)
 
-    linked = calls.join(first, ["conv_id", "id"], "left").join(answer, ["conv_id", "id"], "left").join(places, ["conv_id", "id"], "left").join(tools, "tool", "left")
+    linked = calls.join(first, ["conv_id", "id"], "left").join(answer, ["conv_id", "id"], "left").join(places, ["conv_id", "id"], "left").join(tools, keys, "left")
     status = (
         F.when(F.col("id").isNull(), "malformed")
         .when(F.struct("turn", "part") != F.col("first_call"), "duplicate")

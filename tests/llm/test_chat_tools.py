@@ -115,3 +115,30 @@ def test_no_python_and_empty_tables(spark):
     plan = C.events(rows)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert C.events(rows).count() == 1 and C.events(rows.limit(0)).count() == 0
+
+
+def test_query_takes_schemas_from_system_messages(spark, tmp_path):
+    from quirework.llm.queries import op10_chat_tools
+
+    add = {"name": "add", "parameters": {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "number"}}, "required": ["a"]}}
+    now = {"type": "function", "function": {"name": "now", "parameters": {"type": "object", "properties": {}}}}
+    rows = [
+        (1, 0, "system", json.dumps({"tools": [add, now, {"name": "bare"}, {}]})),
+        (1, 1, "assistant", said(call("a", "add", {"a": 1}), call("b", "add", {"b": 1}), call("c", "add", {"a": "1"}), call("d", "add", {"a": 1, "z": 1}), call("e", "now", {}), call("f", "nope", {}), call("g", "add", {"a": "$call:a"}), call("h", "bare", {}), call("i", "bare", {"x": 1}))),
+        (1, 2, "tool", result("a", "2")),
+        (1, 3, "tool", result("zz", "2")),
+        (2, 0, "assistant", said(call("a", "add", {"a": 1}))),  # another conversation, which declares nothing
+        (3, 0, "user", json.dumps({"tools": [add]})),  # not a system message
+        (3, 1, "assistant", said(call("a", "add", {"a": 1}))),
+        (4, 0, "system", '{"tools": broken'),
+        (4, 1, "system", json.dumps({"tools": "add"})),
+        (4, 2, "assistant", said(call("a", "add", {"a": 1}))),
+        (None, 0, "system", json.dumps({"tools": [add]})),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = op10_chat_tools(spark, str(tmp_path)).collect()
+    status = {(r.conv_id, r.call_id): r.status for r in found if r.kind == "call"}
+    want = {"a": "ok", "b": "missing_parameter", "c": "wrong_type", "d": "unknown_parameter", "e": "unanswered", "f": "unknown_tool", "g": "wrong_type", "h": "unanswered", "i": "unknown_parameter"}
+    assert status == {**{(1, k): v for k, v in want.items()}, (2, "a"): "unknown_tool", (3, "a"): "unknown_tool", (4, "a"): "unknown_tool"}
+    assert {(r.call_id, r.status) for r in found if r.kind == "result"} == {("a", "ok"), ("zz", "orphan")}
+    assert sum(r.kind == "message" for r in found) == len(rows) - 2
