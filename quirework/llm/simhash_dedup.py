@@ -421,8 +421,8 @@ def odd_bits(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-#: 64-bit words of the fingerprints that are compared.
-WORDS = 6
+#: 64-bit words of the fingerprints that bands are cut from; those of them that go with each band and are compared.
+WORDS, COMPARED = 6, 3
 
 
 def bands_for(n: int, similarity: float, missed: float = 0.0013) -> tuple[int, int, int]:
@@ -430,16 +430,15 @@ def bands_for(n: int, similarity: float, missed: float = 0.0013) -> tuple[int, i
 
     A band has so many bits that random texts share a bucket with 32 others at most on average; there are so
     many bands that of pairs with just the similarity, the share 2 * ``missed`` at most has no band in common, over
-    all numbers of odd bits that such a pair may have. The radius is the expected number and three standard
-    deviations. Both only choose candidates.
+    all numbers of odd bits that such a pair may have. The radius is the least that the share ``missed`` of them at
+    most exceeds in the bits that are compared. Both only choose candidates.
     """
     from math import ceil, comb, log2
 
     bits, p = 64 * WORDS, odd_bits(similarity)
     width = max(13, ceil(log2(max(n, 1) / 32)))
-    radius = int(bits * p + 3 * (bits * p * (1 - p)) ** 0.5)
-    odd = np.arange(bits + 1)
-    share = np.array([float(comb(bits, k) * (p**k) * (1 - p) ** (bits - k)) for k in range(bits + 1)])
+    odd, shares = np.arange(bits + 1), lambda bits: np.array([float(comb(bits, k) * (p**k) * (1 - p) ** (bits - k)) for k in range(bits + 1)])
+    share, radius = shares(bits), int(np.argmax(1 - np.cumsum(shares(64 * COMPARED)) <= missed))
     equal = (1 - odd / bits) ** width  # of a band
     bands = 1
     while (share * (1 - equal) ** bands).sum() > 2 * missed:
@@ -592,6 +591,7 @@ def _similar_groups(texts: DataFrame, shingle: int, similarity: float, id_type:
     spark = texts.sparkSession
     width, bands, radius = bands_for(texts.count(), similarity)
     places, texts = band_bits(width, bands), texts.withColumn("text_key", F.xxhash64("text"))
+    compared = [f"bits_{k}" for k in range(COMPARED)]
 
     def prints(batches):
         import pyarrow as pa
@@ -610,7 +610,7 @@ def _similar_groups(texts: DataFrame, shingle: int, similarity: float, id_type:
     reps = found.groupBy("fp").agg(F.min(F.struct("text_key", "doc_id", "bits")).alias("r")).select("fp", "r.text_key", "r.doc_id", "r.bits")
 
     def dealt(batches):
-        """A row for each band of each fingerprint: its bucket and the fingerprint."""
+        """A row for each band of each fingerprint: its bucket, and the words that are compared."""
         import pyarrow as pa
 
         for batch in batches:
@@ -620,31 +620,34 @@ def _similar_groups(texts: DataFrame, shingle: int, similarity: float, id_type:
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, -1)
                 bits = np.unpackbits(raw, axis=1, bitorder="little")[:, places]
                 keys = bits.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)) | np.arange(bands, dtype=np.int64) << 40
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), bands)), part.column(1).take(pa.array(np.repeat(np.arange(n), bands)))], ["key", "fp", "bits"])
+                held = [part.column(0).to_numpy(), *raw.view("<i8")[:, :COMPARED].T]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, bands)) for x in held)], ["key", "fp", *compared])
 
     def linked(batches):
         import pyarrow as pa
 
-        def out(keys, fp, raw):
-            a, b = links_of_rows(keys, np.frombuffer(b"".join(raw), np.uint64).reshape(len(keys), WORDS), radius, 2 * SMALL)
+        def out(rows):
+            fp = rows[:, 1]
+            a, b = links_of_rows(rows[:, 0], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), radius, 2 * SMALL)
             return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["fp", "other"])
 
         held, count, limit = [], 0, BLOCK_ROWS // 2
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()))
+            held.append(np.stack([x.to_numpy() for x in batch.columns], axis=1))
             count += batch.num_rows
             if count >= limit:
-                keys, fp, raw = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [x for h in held for x in h[2]]
+                rows = np.concatenate(held)
+                keys = rows[:, 0]
                 cut = int(np.searchsorted(keys == keys[-1], True)) if keys[-1] != keys[0] else 0
                 if cut:
-                    yield out(keys[:cut], fp[:cut], raw[:cut])
-                held, count = [(keys[cut:], fp[cut:], raw[cut:])], len(keys) - cut
+                    yield out(rows[:cut])
+                held, count = [rows[cut:].copy()], len(rows) - cut
                 limit = max(BLOCK_ROWS // 2, 2 * count)
         if count:
-            yield out(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [x for h in held for x in h[2]])
+            yield out(np.concatenate(held))
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = reps.select("fp", "bits").mapInArrow(dealt, "key long, fp long, bits binary").repartition(n, "key").sortWithinPartitions("key", "fp")
+    rows = reps.select("fp", "bits").mapInArrow(dealt, ", ".join(f"{x} long" for x in ("key", "fp", *compared))).repartition(n, "key").sortWithinPartitions("key", "fp")
     candidates = components(rows.mapInArrow(linked, "fp long, other long").distinct())
     candidates = written(candidates.union(candidates.select("root", "root").distinct()).toDF("fp", "root"), "candidates")
     # the text of one document for each candidate is read again; rows that are repeated as a whole give it more than once, which changes no link

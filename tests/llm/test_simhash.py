@@ -246,3 +246,24 @@ def test_hubs_are_broadcast(spark, monkeypatch):
     edges = [(0, k) for k in range(1, 40)] + [(100, k) for k in range(41, 80)] + [(39, 41), (200, 201), (201, 202)]
     got = dict(map(tuple, S.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert {got.get(k, k) for k in (*range(80), 100) if k != 40} == {0} and got[201] == got[202] == 200
+
+
+def test_few_pairs_are_missed_by_the_bits_that_are_compared():
+    from math import comb
+
+    for n in (1000, 260_000, 10**7):
+        radius, bits, p = S.bands_for(n, 0.8)[2], 64 * S.COMPARED, S.odd_bits(0.8)
+        assert sum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(radius + 1, bits + 1)) <= 0.0013
+        assert S.COMPARED < S.WORDS
+
+
+def test_workers_give_freed_arrow_memory_back(spark):
+    import pyarrow as pa
+
+    S.prepare_workers(spark)
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pa.default_memory_pool().backend_name])], ["name"])
+
+    assert {r.name for r in spark.range(3).mapInArrow(run, "name string").collect()} == {"system"}
