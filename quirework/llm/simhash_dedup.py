@@ -423,6 +423,8 @@ def odd_bits(similarity: float) -> float:
 
 #: 64-bit words of the fingerprints that bands are cut from; those of them that go with each band and are compared.
 WORDS, COMPARED = 6, 3
+#: One band of so many is searched ahead of the others, which then link clusters instead of texts.
+AHEAD = 20
 
 
 def bands_for(n: int, similarity: float, missed: float = 0.0013) -> tuple[int, int, int]:
@@ -573,9 +575,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     """doc_id, text_key and root (long) of each row: rows of one root are near duplicates.
 
     Fingerprints of some hundred bits are compared bit-sliced inside the buckets of bands of their bits, so
-    that nearly all pairs of at least the similarity are candidates (see ``bands_for``). Inside the components of
-    candidates, texts are linked if the Jaccard similarity of their sets of shingles, counted exactly, is at
-    least the given one: what is linked doesn't depend on the fingerprints, thus nor on the number of texts.
+    that nearly all pairs of at least the similarity are candidates (see ``bands_for``). A few bands go ahead; the
+    others only link the clusters that these have made. Inside the components of candidates, texts are linked if the
+    Jaccard similarity of their sets of shingles, counted exactly, is at least the given one: what is linked doesn't depend on the fingerprints, thus nor on the number of texts.
     Texts of equal sets are one member; a component of candidates is confirmed in one task if it is small
     (MOST_MEMBERS, MOST_BYTES), and in parts by pivots if it is larger.
     """
@@ -608,28 +610,33 @@ def _similar_groups(texts: DataFrame, shingle: int, similarity: float, id_type:
     found = written(texts.mapInArrow(prints, f"doc_id {id_type}, text_key long, bits binary, fp long"), "fingerprints")
     # of texts with one set of shingles, one stands for all: its key and document find its text again
     reps = found.groupBy("fp").agg(F.min(F.struct("text_key", "doc_id", "bits")).alias("r")).select("fp", "r.text_key", "r.doc_id", "r.bits")
+    reps = written(reps, "representatives")
 
-    def dealt(batches):
-        """A row for each band of each fingerprint: its bucket, and the words that are compared."""
-        import pyarrow as pa
+    def dealt(first: int, last: int):
+        """A row for each of those bands of each fingerprint: its bucket, its cluster so far, and the words that are compared."""
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                n = part.num_rows
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, -1)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")[:, places]
-                keys = bits.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)) | np.arange(bands, dtype=np.int64) << 40
-                held = [part.column(0).to_numpy(), *raw.view("<i8")[:, :COMPARED].T]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, bands)) for x in held)], ["key", "fp", *compared])
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    n = part.num_rows
+                    raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, -1)
+                    bits = np.unpackbits(raw, axis=1, bitorder="little")[:, places[first:last]]
+                    keys = bits.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)) | np.arange(first, last, dtype=np.int64) << 40
+                    held = [part.column(0).to_numpy(), *raw.view("<i8")[:, :COMPARED].T]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, last - first)) for x in held)], ["key", "cluster", *compared])
+
+        return run
 
     def linked(batches):
         import pyarrow as pa
 
         def out(rows):
-            fp = rows[:, 1]
-            a, b = links_of_rows(rows[:, 0], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), radius, 2 * SMALL)
-            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["fp", "other"])
+            cluster = rows[:, 1]
+            a, b = (cluster[x] for x in links_of_rows(rows[:, 0], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), radius, 2 * SMALL))
+            return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["cluster", "other"])
 
         held, count, limit = [], 0, BLOCK_ROWS // 2
         for batch in batches:
@@ -647,11 +654,18 @@ def _similar_groups(texts: DataFrame, shingle: int, similarity: float, id_type:
             yield out(np.concatenate(held))
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = reps.select("fp", "bits").mapInArrow(dealt, ", ".join(f"{x} long" for x in ("key", "fp", *compared))).repartition(n, "key").sortWithinPartitions("key", "fp")
-    candidates = components(rows.mapInArrow(linked, "fp long, other long").distinct())
+    few = lambda rows: F.broadcast(rows) if rows.count() <= LARGEST_BROADCAST else rows
+    # a cluster is named by its smallest fingerprint; near copies are mostly one after the bands that go ahead, so that
+    # the others don't link each of them anew in each band
+    clusters, ahead = reps.select("fp", "bits", F.col("fp").alias("cluster")), -(-bands // AHEAD)
+    for first, last in ((0, ahead), (ahead, bands)):
+        rows = clusters.select("cluster", "bits").mapInArrow(dealt(first, last), ", ".join(f"{x} long" for x in ("key", "cluster", *compared)))
+        rows = rows.repartition(n, "key").sortWithinPartitions("key", "cluster")
+        merged = components(rows.mapInArrow(linked, "cluster long, other long").distinct())
+        clusters = clusters.join(few(merged), clusters.cluster == merged.node, "left").select("fp", "bits", F.coalesce("root", "cluster").alias("cluster"))
+    candidates = clusters.where("fp != cluster").select("fp", F.col("cluster").alias("root"))
     candidates = written(candidates.union(candidates.select("root", "root").distinct()).toDF("fp", "root"), "candidates")
     # the text of one document for each candidate is read again; rows that are repeated as a whole give it more than once, which changes no link
-    few = lambda rows: F.broadcast(rows) if rows.count() <= LARGEST_BROADCAST else rows
     keys = written(reps.select("fp", "text_key", F.col("doc_id").alias("of")).join(candidates, "fp"), "keys")
     members = texts.join(few(keys), (texts.text_key == keys.text_key) & F.col("doc_id").eqNullSafe(F.col("of"))).select("root", "fp", F.coalesce("text", F.lit("")).alias("text"))
     members = written(members, "members")

@@ -267,3 +267,32 @@ def test_workers_give_freed_arrow_memory_back(spark):
             yield pa.RecordBatch.from_arrays([pa.array([pa.default_memory_pool().backend_name])], ["name"])
 
     assert {r.name for r in spark.range(3).mapInArrow(run, "name string").collect()} == {"system"}
+
+
+def test_near_copies_are_not_linked_anew_in_each_band(spark, monkeypatch):
+    random = Random(15)
+    vocab = [f"v{k}" for k in range(5000)]
+    base = random.choices(vocab, k=300)
+    texts = [list(base) for _ in range(400)] + [random.choices(vocab, k=80) for _ in range(100)]
+    for words in texts[:400]:
+        for k in random.sample(range(300), random.randint(1, 8)):
+            words[k] = random.choice(vocab)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    counts, plain = [], S.components
+
+    def counted(edges, *rest):
+        edges = S.written(edges, "counted")
+        counts.append(edges.count())
+        return plain(edges, *rest)
+
+    monkeypatch.setattr(S, "components", counted)
+    got = {r.doc_id: r.root for r in S.similar_groups(docs).collect()}
+    few = sum(counts)
+    assert few < 3 * 400
+    counts.clear()
+    monkeypatch.setattr(S, "AHEAD", 1, raising=False)  # all bands at once
+    assert {r.doc_id: r.root for r in S.similar_groups(docs).collect()} == got
+    assert sum(counts) > 3 * few
+    want = S.components_of_sets([S.shingle_hashes(" ".join(w).encode(), 5) for w in texts], 0.8).tolist()
+    groups = lambda root: sorted(sorted(k for k in range(len(texts)) if root[k] == r) for r in set(root))
+    assert groups([got[k] for k in range(len(texts))]) == groups(want)
