@@ -126,11 +126,15 @@ def paragraphs(text: Column | str) -> Column:
     return let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(strip(text))))
 
 
-def sentences(text: Column | str) -> Column:
-    """Units that end after each sentence mark or line break."""
+def sentence_units(text: Column | str, bare=strip) -> Column:
+    """Units that end after each sentence mark or line break, each made bare; a text without any has none."""
     parts = F.regexp_extract_all(_text(text), F.lit("[^。！？；.!?;\n]*[。！？；.!?;\n]|[^。！？；.!?;\n]+$"), F.lit(0))
-    units = F.filter(F.transform(parts, strip), lambda p: p != "")
-    return let(units, lambda u: F.when(F.size(u) > 0, u).otherwise(F.array(strip(text))))
+    return F.filter(F.transform(parts, bare), lambda p: p != "")
+
+
+def sentences(text: Column | str) -> Column:
+    """The units of a text; one without any is its only unit."""
+    return let(sentence_units(text), lambda u: F.when(F.size(u) > 0, u).otherwise(F.array(strip(text))))
 
 
 def join_text(left: Column, right: Column) -> Column:
