@@ -5,6 +5,10 @@ Null texts count as empty unless said otherwise.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
@@ -12,6 +16,11 @@ from . import vocabulary as V
 
 #: White space as Python's str methods see it.
 SPACE = r"[\s\x1c-\x1f]"
+#: V.TOKEN for Java, which keeps nothing to go back to, so that no length of text exhausts its stack. A CJK character is a sign.
+_TOKEN = r"[A-Za-z0-9]++(?:[-_'][A-Za-z0-9]++)*+|(?U:\d+(?:\.\d+)?|[^\s])"
+#: Text up to a sentence mark or line break, and the mark. Java is slow on classes of ASCII and other signs together.
+_WITHIN = r"(?:[^.!?;\n\x{80}-\x{10ffff}]++|[^\x00-\x7f。！？；]++)"
+_SENTENCE = rf"{_WITHIN}*+(?:[.!?;\n]|[。！？；])|{_WITHIN}++"
 
 
 def _text(text: Column | str) -> Column:
@@ -29,7 +38,7 @@ def strip(text: Column | str) -> Column:
 
 def normalize_space(text: Column | str) -> Column:
     """Blanks to one space, three or more line breaks to two; stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(_text(text), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(_text(text), r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
 
 
 def normalize_line(text: Column | str) -> Column:
@@ -62,7 +71,7 @@ def remove_citation_markers(text: Column | str) -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    return F.regexp_extract_all(_text(text), F.lit(f"(?U){V.TOKEN}"), F.lit(0))
+    return F.regexp_extract_all(_text(text), F.lit(_TOKEN), F.lit(0))
 
 
 def estimated_tokens(text: Column | str) -> Column:
@@ -92,8 +101,6 @@ def domain_terms(text: Column | str, terms: list[str]) -> Column:
     """Each term as often as it occurs (without overlap); terms without CJK in any case."""
     parts, raw = [], _text(text)
     for term in dict.fromkeys(terms):
-        import re
-
         cjk = re.search(f"[{V.py(V.CJK)}]", term)
         where, found = (raw, term) if cjk else (F.lower(raw), term.lower())
         times = (F.length(where) - F.length(F.replace(where, F.lit(found), F.lit("")))) / len(found)
@@ -128,7 +135,7 @@ def paragraphs(text: Column | str) -> Column:
 
 def sentence_units(text: Column | str, bare=strip) -> Column:
     """Units that end after each sentence mark or line break, each made bare; a text without any has none."""
-    parts = F.regexp_extract_all(_text(text), F.lit("[^。！？；.!?;\n]*[。！？；.!?;\n]|[^。！？；.!?;\n]+$"), F.lit(0))
+    parts = F.regexp_extract_all(_text(text), F.lit(_SENTENCE), F.lit(0))
     return F.filter(F.transform(parts, bare), lambda p: p != "")
 
 
@@ -137,37 +144,53 @@ def sentences(text: Column | str) -> Column:
     return let(sentence_units(text), lambda u: F.when(F.size(u) > 0, u).otherwise(F.array(strip(text))))
 
 
+def _is_cjk(character: Column) -> Column:
+    """Whether one character is CJK: compared, as a pattern takes long where each token is asked."""
+    ranges = re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", V.CJK)
+    return reduce(or_, (character.between(F.lit(chr(int(low, 16))), F.lit(chr(int(high, 16)))) for low, high in ranges))
+
+
+def _touch(a: Column, b: Column) -> Column:
+    """Whether no space goes between two texts: after a sentence mark, before a trailing mark or beside CJK."""
+    last, first = F.substring(a, -1, 1), F.substring(b, 1, 1)
+    return last.isin(*V.SENTENCE_ENDS) | first.isin(*V.TRAILING_MARKS) | _is_cjk(last) | _is_cjk(first)
+
+
 def join_text(left: Column, right: Column) -> Column:
     """Both stripped; no space after a sentence mark, before a trailing mark or beside CJK."""
 
     def joined(both: Column) -> Column:
         a, b = both["a"], both["b"]
-        last, first = F.substring(a, -1, 1), F.substring(b, 1, 1)
-        dense = last.isin(*V.SENTENCE_ENDS) | first.isin(*V.TRAILING_MARKS) | contains_cjk(last) | contains_cjk(first)
-        return F.when(a == "", b).when(b == "", a).when(dense, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
+        return F.when(a == "", b).when(b == "", a).when(_touch(a, b), F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
 
     return let(F.struct(strip(left).alias("a"), strip(right).alias("b")), joined)
 
 
+def join_stripped(parts: Column) -> Column:
+    """Stripped texts put together as join_text does, all at once."""
+    spaced = lambda x: F.transform(x, lambda t, k: F.when((k == 0) | _touch(F.get(x, k - 1), t), t).otherwise(F.concat(F.lit(" "), t)))
+    return let(F.filter(parts, lambda t: t != ""), lambda x: F.array_join(spaced(x), ""))
+
+
 def join_tokens(parts: Column) -> Column:
-    """Tokens put together: no space before CJK or a trailing mark, after CJK or an opening mark."""
-    is_cjk = lambda c: c.rlike(f"^[{V.CJK}]$")
+    """Tokens (none empty) put together: no space before CJK or a trailing mark, after CJK or an opening mark."""
 
-    def step(out: Column, token: Column) -> Column:
-        last = F.substring(out, -1, 1)
-        dense = is_cjk(token) | is_cjk(last) | token.isin(*V.TRAILING_MARKS) | last.isin(*V.OPENING_MARKS)
-        return F.when(out == "", token).when(dense, F.concat(out, token)).otherwise(F.concat(out, F.lit(" "), token))
+    def dense(before: Column, token: Column) -> Column:
+        last = F.substring(before, -1, 1)
+        return ((F.length(token) == 1) & _is_cjk(token)) | _is_cjk(last) | token.isin(*V.TRAILING_MARKS) | last.isin(*V.OPENING_MARKS)
 
-    return strip(F.aggregate(parts, F.lit(""), step))
+    spaced = lambda x: F.transform(x, lambda t, k: F.when((k == 0) | dense(F.get(x, k - 1), t), t).otherwise(F.concat(F.lit(" "), t)))
+    return strip(let(parts, lambda x: F.array_join(spaced(x), "")))
 
 
 def split_long(text: Column | str, most: int) -> Column:
     """Slices of ``most`` tokens, put together again."""
-    def cut(found: Column) -> Column:
-        starts = F.when(F.size(found) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(found), F.lit(most)))
-        return F.transform(starts, lambda k: join_tokens(F.slice(found, k, F.lit(most))))
+    return let(tokens(text), lambda found: _slices(found, most))
+
 
-    return let(tokens(text), cut)
+def _slices(found: Column, most: int) -> Column:
+    starts = F.when(F.size(found) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(found), F.lit(most)))
+    return F.transform(starts, lambda k: join_tokens(F.slice(found, k, F.lit(most))))
 
 
 def boundary_units(text: Column | str, most: int) -> Column:
@@ -177,16 +200,24 @@ def boundary_units(text: Column | str, most: int) -> Column:
 
 def counted_units(text: Column | str, most: int) -> Column:
     """Boundary units with n, their numbers of tokens; each text is counted once."""
+    return _units(_counted(paragraphs(text)), most)
+
+
+def _counted(texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.struct(t.alias("text"), estimated_tokens(t).alias("n")))
+
+
+def _units(counted: Column, most: int) -> Column:
     unit = lambda t, reason, n: F.struct(t.alias("text"), F.lit(reason).alias("reason"), n.alias("n"))
 
     def of_sentence(s: Column) -> Column:
-        cut = lambda: F.transform(split_long(s, most), lambda t: unit(t, "hard_limit", estimated_tokens(t)))
-        return let(estimated_tokens(s), lambda n: F.when(n <= most, F.array(unit(s, "sentence_boundary", n))).otherwise(cut()))
+        cut = lambda found: F.transform(_slices(found, most), lambda t: unit(t, "hard_limit", estimated_tokens(t)))
+        return let(tokens(s), lambda found: F.when(F.size(found) <= most, F.array(unit(s, "sentence_boundary", F.size(found)))).otherwise(cut(found)))
 
     def of_paragraph(p: Column) -> Column:
-        return let(estimated_tokens(p), lambda n: F.when(n <= most, F.array(unit(p, "paragraph_boundary", n))).otherwise(F.flatten(F.transform(sentences(p), of_sentence))))
+        return F.when(p["n"] <= most, F.array(unit(p["text"], "paragraph_boundary", p["n"]))).otherwise(F.flatten(F.transform(sentences(p["text"]), of_sentence)))
 
-    return F.flatten(F.transform(paragraphs(text), of_paragraph))
+    return F.flatten(F.transform(counted, of_paragraph))
 
 
 def trailing_overlap(text: Column | str, budget: int) -> Column:
@@ -221,36 +252,40 @@ def split_text(text: Column | str, most: int, overlap: int = 0) -> Column:
     A unit's tokens are counted once, and a piece's count is the sum of its units': units are put together without a
     space only after a sentence mark, before a trailing mark or beside CJK, where no token goes on.
     """
-    clean = normalize_space(text)
-    state = "struct<out:array<struct<text:string,reason:string>>,now:string,reasons:array<string>,n:int>"
-    start = F.from_json(F.lit('{"out":[],"now":"","reasons":[],"n":0}'), state)
-
-    def closed(s: Column) -> Column:
-        piece = F.array(F.struct(strip(s["now"]).alias("text"), combined_reason(s["reasons"]).alias("reason")))
-        return F.when(strip(s["now"]) == "", s["out"]).otherwise(F.concat(s["out"], piece))
-
-    def step(s: Column, unit: Column) -> Column:
-        longer = F.when(s["now"] == "", unit["text"]).otherwise(join_text(s["now"], unit["text"]))
-        over = (s["now"] != "") & (s["n"] + unit["n"] > most)
-        alone = F.struct(unit["text"].alias("now"), F.array(unit["reason"]).alias("reasons"), unit["n"].alias("n"))
-        fresh = let(trailing_overlap(s["now"], overlap), lambda o: begun(o, unit)) if overlap > 0 else alone
-        grown = F.struct(longer.alias("now"), F.concat(s["reasons"], F.array(unit["reason"])).alias("reasons"), (s["n"] + unit["n"]).alias("n"))
-        after = F.when(over, fresh).otherwise(grown)
-        return let(after, lambda a: F.struct(F.when(over, closed(s)).otherwise(s["out"]).alias("out"), a["now"].alias("now"), a["reasons"].alias("reasons"), a["n"].alias("n")))
-
-    def begun(o: Column, unit: Column) -> Column:
-        both = F.when(o == "", unit["text"]).otherwise(join_text(o, unit["text"]))
-        kept = estimated_tokens(o)
-        alone = (o == "") | ((kept + unit["n"] > most) & (unit["n"] <= most))
-        reasons = F.when(alone, F.array(unit["reason"])).otherwise(F.array(F.lit("overlap"), unit["reason"]))
-        return F.struct(F.when(alone, unit["text"]).otherwise(both).alias("now"), reasons.alias("reasons"), F.when(alone, unit["n"]).otherwise(kept + unit["n"]).alias("n"))
-
-    none = F.array().cast("array<struct<text:string,reason:string>>")
-
-    def packed(c: Column) -> Column:
-        return F.aggregate(counted_units(c, most), start, step, closed)
-
-    return let(clean, lambda c: F.when(c == "", none).when(estimated_tokens(c) <= most, F.array(F.struct(c.alias("text"), F.lit("within_limit").alias("reason")))).otherwise(packed(c)))
+    state = "struct<out:array<struct<text:string,reason:string>>,head:string,first:int,at:int,n:int,some:boolean>"
+    start = F.from_json(F.lit('{"out":[],"head":"","first":0,"at":0,"n":0,"some":false}'), state)
+
+    def packed(units: Column) -> Column:
+        def closed(s: Column) -> Column:
+            """The piece of the units from the first one on, after its head."""
+            own = F.slice(units, s["first"] + 1, s["at"] - s["first"])
+            whole = join_stripped(F.concat(F.array(s["head"]), F.transform(own, lambda u: u["text"])))
+            return F.struct(whole.alias("text"), combined_reason(F.transform(own, lambda u: u["reason"])).alias("reason"))
+
+        def begun(s: Column, unit: Column, piece: Column) -> Column:
+            o = trailing_overlap(piece["text"], overlap)
+            kept = let(F.struct(o.alias("o"), estimated_tokens(o).alias("n")), lambda k: F.when((k["n"] + unit["n"] <= most) | (unit["n"] > most), k).otherwise(none))
+            head = kept if overlap > 0 else none
+            after = lambda k: F.struct(F.concat(s["out"], F.array(piece)).alias("out"), k["o"].alias("head"), s["at"].alias("first"), (s["at"] + 1).alias("at"), (k["n"] + unit["n"]).alias("n"), ((k["o"] != "") | (unit["text"] != "")).alias("some"))
+            return let(head, after)
+
+        def step(s: Column, unit: Column) -> Column:
+            grown = F.struct(s["out"].alias("out"), s["head"].alias("head"), s["first"].alias("first"), (s["at"] + 1).alias("at"), (s["n"] + unit["n"]).alias("n"), (s["some"] | (unit["text"] != "")).alias("some"))
+            return F.when(s["some"] & (s["n"] + unit["n"] > most), let(closed(s), lambda p: begun(s, unit, p))).otherwise(grown)
+
+        return F.aggregate(units, start, step, lambda s: F.when(s["some"], F.concat(s["out"], F.array(closed(s)))).otherwise(s["out"]))
+
+    none = F.struct(F.lit("").alias("o"), F.lit(0).alias("n"))
+    empty = F.array().cast("array<struct<text:string,reason:string>>")
+
+    def split(c: Column, counted: Column) -> Column:
+        # no token goes across paragraphs, so the whole has as many at least
+        n = F.aggregate(counted, F.lit(0), lambda a, p: a + p["n"])
+        fits = F.when(n > most, False).otherwise(estimated_tokens(c) <= most)
+        whole = F.array(F.struct(c.alias("text"), F.lit("within_limit").alias("reason")))
+        return F.when(fits, whole).otherwise(let(_units(counted, most), packed))
+
+    return let(normalize_space(text), lambda c: F.when(c == "", empty).otherwise(let(_counted(paragraphs(c)), lambda counted: split(c, counted))))
 
 
 def mojibake_score(text: Column | str, extra: str = "") -> Column:
