@@ -16,10 +16,13 @@ from . import vocabulary as V
 
 #: White space as Python's str methods see it.
 SPACE = r"[\s\x1c-\x1f]"
-#: V.TOKEN for Java, which keeps nothing to go back to, so that no length of text exhausts its stack. A CJK character is a sign.
-_TOKEN = r"[A-Za-z0-9]++(?:[-_'][A-Za-z0-9]++)*+|(?U:\d+(?:\.\d+)?|[^\s])"
-#: Text up to a sentence mark or line break, and the mark. Java is slow on classes of ASCII and other signs together.
-_WITHIN = r"(?:[^.!?;\n\x{80}-\x{10ffff}]++|[^\x00-\x7f。！？；]++)"
+#: The same characters, one by one.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# Java is fast on \p{Alnum}, which is ASCII here, and on classes that name ASCII characters one by one, not on ranges and mixed ones.
+_WITHIN = "(?:[" + "".join(rf"\x{k:02x}" for k in range(128) if chr(k) not in V.SENTENCE_ENDS) + r"]++|[^\x00-\x7f。！？；]++)"
+#: V.TOKEN for Java: nothing is kept to go back to, so that no length of text exhausts the stack. A CJK character is a sign.
+_TOKEN = r"\p{Alnum}++(?:[-_']\p{Alnum}++)*+|(?U:\d+(?:\.\d+)?|[^\s])"
+#: Text up to a sentence mark or line break, and the mark.
 _SENTENCE = rf"{_WITHIN}*+(?:[.!?;\n]|[。！？；])|{_WITHIN}++"
 
 
@@ -36,6 +39,11 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(_text(text), f"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
+def strip_short(text: Column) -> Column:
+    """strip() of a short text that isn't null: without a pattern, but with memory of eight times the text."""
+    return F.trim(text, F.lit(SPACES))
+
+
 def normalize_space(text: Column | str) -> Column:
     """Blanks to one space, three or more line breaks to two; stripped."""
     return strip(F.regexp_replace(F.regexp_replace(_text(text), r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
@@ -129,11 +137,11 @@ def normalize_search_token(token: Column | str) -> Column:
 
 
 def paragraphs(text: Column | str) -> Column:
-    parts = F.filter(F.transform(F.split(_text(text), r"(?U)\n\s*\n+"), strip), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(_text(text), r"(?U)\n\s*\n+"), strip_short), lambda p: p != "")
     return let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(strip(text))))
 
 
-def sentence_units(text: Column | str, bare=strip) -> Column:
+def sentence_units(text: Column | str, bare=strip_short) -> Column:
     """Units that end after each sentence mark or line break, each made bare; a text without any has none."""
     parts = F.regexp_extract_all(_text(text), F.lit(_SENTENCE), F.lit(0))
     return F.filter(F.transform(parts, bare), lambda p: p != "")
@@ -252,30 +260,33 @@ def split_text(text: Column | str, most: int, overlap: int = 0) -> Column:
     A unit's tokens are counted once, and a piece's count is the sum of its units': units are put together without a
     space only after a sentence mark, before a trailing mark or beside CJK, where no token goes on.
     """
-    state = "struct<out:array<struct<text:string,reason:string>>,head:string,first:int,at:int,n:int,some:boolean>"
-    start = F.from_json(F.lit('{"out":[],"head":"","first":0,"at":0,"n":0,"some":false}'), state)
+    state = "struct<out:array<struct<head:string,first:int,at:int>>,head:struct<text:string,n:int>,first:int,at:int,n:int,some:boolean>"
+    start = F.from_json(F.lit('{"out":[],"head":{"text":"","n":0},"first":0,"at":0,"n":0,"some":false}'), state)
+    none = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
 
     def packed(units: Column) -> Column:
-        def closed(s: Column) -> Column:
-            """The piece of the units from the first one on, after its head."""
-            own = F.slice(units, s["first"] + 1, s["at"] - s["first"])
-            whole = join_stripped(F.concat(F.array(s["head"]), F.transform(own, lambda u: u["text"])))
-            return F.struct(whole.alias("text"), combined_reason(F.transform(own, lambda u: u["reason"])).alias("reason"))
-
-        def begun(s: Column, unit: Column, piece: Column) -> Column:
-            o = trailing_overlap(piece["text"], overlap)
-            kept = let(F.struct(o.alias("o"), estimated_tokens(o).alias("n")), lambda k: F.when((k["n"] + unit["n"] <= most) | (unit["n"] > most), k).otherwise(none))
-            head = kept if overlap > 0 else none
-            after = lambda k: F.struct(F.concat(s["out"], F.array(piece)).alias("out"), k["o"].alias("head"), s["at"].alias("first"), (s["at"] + 1).alias("at"), (k["n"] + unit["n"]).alias("n"), ((k["o"] != "") | (unit["text"] != "")).alias("some"))
-            return let(head, after)
+        """Places of pieces are found first, so that texts aren't copied from state to state."""
+        own = lambda p: F.slice(units, p["first"] + 1, p["at"] - p["first"])
+        place = lambda s: F.struct(s["head"]["text"].alias("head"), s["first"].alias("first"), s["at"].alias("at"))
+        text_of = lambda p: join_stripped(F.concat(F.array(p["head"]), F.transform(own(p), lambda u: u["text"])))
+
+        def begun(s: Column, unit: Column) -> Column:
+            """The head of the next piece."""
+            last = let(trailing_overlap(text_of(place(s)), overlap), lambda o: F.struct(o.alias("text"), estimated_tokens(o).alias("n")))
+            return let(last, lambda k: F.when((k["n"] + unit["n"] <= most) | (unit["n"] > most), k).otherwise(none)) if overlap > 0 else none
 
         def step(s: Column, unit: Column) -> Column:
-            grown = F.struct(s["out"].alias("out"), s["head"].alias("head"), s["first"].alias("first"), (s["at"] + 1).alias("at"), (s["n"] + unit["n"]).alias("n"), (s["some"] | (unit["text"] != "")).alias("some"))
-            return F.when(s["some"] & (s["n"] + unit["n"] > most), let(closed(s), lambda p: begun(s, unit, p))).otherwise(grown)
+            then = lambda out, head, first, n, some: F.struct(out.alias("out"), head.alias("head"), first.alias("first"), (s["at"] + 1).alias("at"), (n + unit["n"]).alias("n"), (some | (unit["text"] != "")).alias("some"))
+            full = (s["some"] | (s["head"]["text"] != "")) & (s["head"]["n"] + s["n"] + unit["n"] > most)
+            next_one = then(F.concat(s["out"], F.array(place(s))), begun(s, unit), s["at"], F.lit(0), F.lit(False))
+            return F.when(full, next_one).otherwise(then(s["out"], s["head"], s["first"], s["n"], s["some"]))
+
+        def ended(s: Column) -> Column:
+            return F.when(s["some"] | (s["head"]["text"] != ""), F.concat(s["out"], F.array(place(s)))).otherwise(s["out"])
 
-        return F.aggregate(units, start, step, lambda s: F.when(s["some"], F.concat(s["out"], F.array(closed(s)))).otherwise(s["out"]))
+        piece = lambda p: F.struct(text_of(p).alias("text"), combined_reason(F.transform(own(p), lambda u: u["reason"])).alias("reason"))
+        return F.transform(F.aggregate(units, start, step, ended), piece)
 
-    none = F.struct(F.lit("").alias("o"), F.lit(0).alias("n"))
     empty = F.array().cast("array<struct<text:string,reason:string>>")
 
     def split(c: Column, counted: Column) -> Column:

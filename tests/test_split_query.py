@@ -46,3 +46,9 @@ def test_joined_at_once_as_one_by_one(spark):
         one_by_one = X.join_text(one_by_one, F.lit(part))
     got = spark.range(1).select(X.join_stripped(F.array(*map(F.lit, parts))).alias("at_once"), one_by_one.alias("one_by_one")).first()
     assert got.at_once == got.one_by_one == "a b (c d), e。数f 《g数据h.i!j"
+
+
+def test_short_texts_are_stripped_as_others(spark):
+    rows = spark.createDataFrame([(c, f"{c}{c}a{c}b{c}") for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000], "c string, text string")
+    assert rows.where(X.strip("text") != X.strip_short(F.col("text"))).count() == 0
+    assert rows.where(F.length(X.strip_short(F.col("text"))) == 3).count() == 29
